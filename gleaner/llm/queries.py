@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, records, simhash, spotsigs, topk
+from . import bpe, chat, kneser_ney, langid, mixing, records, simhash, spotsigs, topk, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marks = "</s>[INST] ok [/INST]"
@@ -38,6 +42,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (langid.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs, folds=10)
+    found = kneser_ney.score(docs, model).withColumn("held_out", ~kneser_ney.trained(F.col("doc_id"), 10))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model.words.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -71,9 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_token_records": op2_token_records,
+        "op3_warc": op3_warc,
         "op4_chat_format": op4_chat_format,
         "op5_exact_top_k": op5_exact_top_k,
         "op6_language_id": op6_language_id,
+        "op7_kneser_ney": op7_kneser_ney,
         "op8_bpe": op8_bpe,
         "op9_spotsigs": op9_spotsigs,
         "op10_mixing": op10_mixing,

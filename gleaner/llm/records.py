@@ -127,7 +127,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
         for batch in batches:
             if out is None and batch.num_rows:
                 files.create_dir(base, recursive=True)
-                out = files.open_output_stream(f"{base}/{name}.rec", buffer_size=1 << 20)
+                out = files.open_output_stream(f"{base}/{name}.rec", compression=None, buffer_size=1 << 20)
             for doc_id, text in zip(column(batch, "id").to_pylist(), column(batch, "text")):
                 ids = encode(text.as_py() or "")
                 data = pack(doc_id, ids, encode.width)
