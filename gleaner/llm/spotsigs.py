@@ -93,8 +93,11 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.when(F.col("__at") == found.low, F.struct(F.lit(2).alias("late"), F.lit(len(cuts)).alias("bucket"))),
     )
     rows = rows.select("doc_id", "text", "set", "__at", F.explode(F.filter(homes, lambda h: h.isNotNull())).alias("__home"))
-    order = Window.partitionBy("__home.bucket").orderBy("__home.late", "__at", F.xxhash64("text"))
-    return rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_set", F.lead("set").over(order)).where("__home.late = 0").select("doc_id", "text", "set", "next_text", "next_set")
+    rows = rows.select("doc_id", "text", "set", "__at", F.col("__home.late").alias("late"), F.col("__home.bucket").alias("bucket"))
+    order = Window.partitionBy("bucket").orderBy("late", "__at", F.xxhash64("text"))
+    # Both columns in one window, so the rows are shuffled once.
+    led = rows.select("doc_id", "text", "set", "late", F.lead("text").over(order).alias("next_text"), F.lead("set").over(order).alias("next_set"))
+    return led.where("late = 0").drop("late")
 
 
 def edited_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
