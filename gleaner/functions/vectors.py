@@ -16,6 +16,11 @@ MATCH_AT, MARGIN, FULL_AT = 0.55, 0.06, 0.75
 HASH_DIMENSIONS = 64
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product; of unequal lengths the longer's rest is ignored."""
     both = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -60,10 +65,12 @@ def to_bytes(vector: Column) -> Column:
 def hash_bucket(word: Column) -> Column:
     """FNV-1a (64 bits) of a word's UTF-8 bytes, mod 64. The low six bits of a product and of an exclusive or
     need only the low six bits before: 37 and 51 are those of the offset and of the prime."""
-    hexes = F.hex(F.encode(word, "UTF-8"))
-    at = F.sequence(F.lit(1), F.length(hexes) - 1, F.lit(2))
-    byte = lambda i: F.conv(F.substring(hexes, i, F.lit(2)), 16, 10).cast("long")
-    return F.aggregate(at, F.lit(37).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * 51) % 64)
+    def fold(hexes):
+        at = F.sequence(F.lit(1), F.length(hexes) - 1, F.lit(2))
+        byte = lambda i: F.conv(F.substring(hexes, i, F.lit(2)), 16, 10).cast("long")
+        return F.aggregate(at, F.lit(37).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * 51) % 64)
+
+    return bound(F.hex(F.encode(word, "UTF-8")), fold)
 
 
 def hash_words(text: Column) -> Column:
@@ -74,9 +81,10 @@ def hash_words(text: Column) -> Column:
 
 def hash_embedding(text: Column) -> Column:
     """The hash embedder as one expression: counts of word buckets, normalised."""
-    buckets = F.transform(hash_words(text), hash_bucket)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(HASH_DIMENSIONS - 1)), lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("double"))
-    return normalized(counts)
+    def counts(buckets):
+        return F.transform(F.sequence(F.lit(0), F.lit(HASH_DIMENSIONS - 1)), lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("double"))
+
+    return bound(bound(F.transform(hash_words(text), hash_bucket), counts), normalized)
 
 
 class Embedder(abc.ABC):

@@ -15,10 +15,13 @@ K1, B, FLOOR = 1.2, 0.75, 1e-6
 CANDIDATES = 200
 
 
-def postings(chunks: DataFrame, stemmed: bool = True, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(term, chunk_id, positions, tf)."""
+def postings(chunks: DataFrame, stemmed: bool = True, id_col: str = "chunk_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, positions, tf); with ``only`` (term), unstemmed, just of those terms, cut before any shuffle
+    if Spark finds them few enough to broadcast."""
     split = stemming.raw_tokens if stemmed else text.tokens
     rows = chunks.select(F.col(id_col).alias("chunk_id"), F.posexplode(split(F.col(text_col))).alias("position", "word"))
+    if only is not None:
+        rows = rows.join(only.select(F.col("term").alias("word")).distinct(), "word", "left_semi")
     rows = rows.groupBy("word", "chunk_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
     if not stemmed:
         return rows.select(F.col("word").alias("term"), "chunk_id", "positions", F.size("positions").alias("tf"))
@@ -54,7 +57,7 @@ def phrase_frequency(posting: DataFrame, terms: DataFrame) -> DataFrame:
     Each word's positions, less its place in the phrase, are where the phrase would start; a start that
     all words share is an occurrence. One equi-join on the word, one aggregation."""
     wanted = terms.select("query_id", "term_pos", "term", F.size("words").alias("length"), F.posexplode("words").alias("place", "word"))
-    found = posting.join(wanted, posting["term"] == wanted["word"]).select("query_id", "term_pos", wanted["term"], "length", "place", "chunk_id", "positions", "tf")
+    found = posting.withColumnRenamed("term", "word").join(wanted, "word").drop("word")
     single = found.where("length = 1").select("query_id", "term_pos", "term", "chunk_id", "tf")
     starts = found.where("length > 1").select("query_id", "term_pos", "term", "chunk_id", "length", F.explode(F.transform("positions", lambda p: p - F.col("place"))).alias("start"))
     whole = starts.groupBy("query_id", "term_pos", "term", "chunk_id", "length", "start").count().where("count = length")

@@ -62,7 +62,7 @@ def single_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
     terms = single_terms(spark, sf_dir)
-    found = keyword.scores(keyword.postings(chunks, stemmed=False), keyword.chunk_stats(chunks, stemmed=False), terms)
+    found = keyword.scores(keyword.postings(chunks, stemmed=False, only=terms), keyword.chunk_stats(chunks, stemmed=False), terms)
     return found.withColumn("bm25", F.round("bm25", 6))
 
 
@@ -97,7 +97,7 @@ SELECT query_id, a.doc_id AS chunk_id, count(*) AS tf FROM ph JOIN pos a ON a.te
 def phrase_match(spark, sf_dir):
     docs = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     phrases = b.queries(spark, sf_dir).select("query_id", F.lit(0).alias("term_pos"), F.slice(text.tokens(F.col("query")), 1, 2).alias("words")).where(F.size("words") == 2).withColumn("term", F.array_join("words", " "))
-    return keyword.phrase_frequency(keyword.postings(docs, stemmed=False), phrases).select("query_id", "chunk_id", F.col("tf").cast("long").alias("tf"))
+    return keyword.phrase_frequency(keyword.postings(docs, stemmed=False, only=phrases.select(F.explode("words").alias("term"))), phrases).select("query_id", "chunk_id", F.col("tf").cast("long").alias("tf"))
 
 
 @query()
@@ -378,7 +378,7 @@ def normalize_newlines(spark, sf_dir):
     return b.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_newlines(mixed)).alias("digest"))
 
 
-@query("SELECT doc_id, CASE WHEN v < 1024 THEN v || ' B' WHEN v < 1048576 THEN printf('%.1f KB', v / 1024.0) WHEN v < 1073741824 THEN printf('%.1f MB', v / 1048576.0) ELSE printf('%.1f GB', v / 1073741824.0) END AS size FROM (SELECT doc_id, n_chars * (doc_id % 9) * (doc_id % 9) * (doc_id % 9) * 7 AS v FROM documents)")
+@query("SELECT doc_id, CASE WHEN v < 1024 THEN v || ' B' WHEN v < 1048576 THEN printf('%.1f KB', floor(v / 1024.0 * 10 + 0.5) / 10) WHEN v < 1073741824 THEN printf('%.1f MB', floor(v / 1048576.0 * 10 + 0.5) / 10) ELSE printf('%.1f GB', floor(v / 1073741824.0 * 10 + 0.5) / 10) END AS size FROM (SELECT doc_id, n_chars * (doc_id % 9) * (doc_id % 9) * (doc_id % 9) * 7 AS v FROM documents)")
 def format_bytes(spark, sf_dir):
     k = F.col("doc_id") % 9
     return b.table(spark, sf_dir, "documents").select("doc_id", text.format_bytes(F.col("n_chars") * k * k * k * 7).alias("size"))
