@@ -311,9 +311,9 @@ HYBRID = f"""WITH {FILES}, {READ}, {SINGLE}, {BM25}, {TITLED},
 kw AS (SELECT query_id, chunk_id AS file_id, matched / CAST((SELECT count(*) FROM terms t WHERE t.query_id = sc.query_id) AS DOUBLE) AS k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, chunk_id) AS c FROM sc) sc WHERE c <= 200),
 nm AS (SELECT query_id, file_id, count(*) AS m FROM (SELECT query_id, file_id, term AS t, {OWN} AS own FROM named, all_terms) WHERE {HAS} GROUP BY ALL),
 nc AS (SELECT query_id, file_id, m / CAST((SELECT count(*) FROM all_terms t WHERE t.query_id = nm.query_id) AS DOUBLE) AS m FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file_id) AS c FROM nm) nm WHERE c <= 200),
-f AS (SELECT query_id, file_id, k, m, round((coalesce(k, 0) + coalesce(m, 0)) / 2, 6) AS relevance FROM kw FULL JOIN nc USING (query_id, file_id)),
+f AS (SELECT query_id, file_id, k, m, CAST(0.5 AS DOUBLE) * coalesce(k, CAST(0 AS DOUBLE)) + CAST(0.5 AS DOUBLE) * coalesce(m, CAST(0 AS DOUBLE)) AS relevance FROM kw FULL JOIN nc USING (query_id, file_id)),
 r AS (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, m IS NOT NULL DESC, string_split(path, '/')) AS rank FROM f JOIN files USING (file_id))
-SELECT query_id, file_id, relevance, rank FROM r WHERE rank <= 20"""
+SELECT query_id, file_id, round(relevance, 6) AS relevance, rank FROM r WHERE rank <= 20"""
 
 
 @query(HYBRID)
