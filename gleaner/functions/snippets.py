@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 import regex
 from pyspark.sql import Column
@@ -97,7 +95,3 @@ def highlight_column(text: Column, words: Column) -> Column:
         return pd.Series([None if t is None else highlight_words(t, list(w) if w is not None else []) for t, w in zip(texts, lists)])
 
     return run(text, words)
-
-
-def is_letter_or_number(ch: str) -> bool:
-    return unicodedata.category(ch)[0] in "LN"

@@ -14,7 +14,7 @@ STOPWORDS = (
 MAX_TERMS = 16
 SHORT_CHARS = 300
 
-#: Letters and numbers as the reference's alphanumeric test has them, and Unicode white space.
+#: Letters and numbers (Alphabetic or of category N), and Unicode white space.
 ALNUM, SPACE = r"\p{IsAlphabetic}\p{N}", r"\p{IsWhite_Space}"
 _PIECE = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 _WORD = regex.compile(r"\P{White_Space}+")
