@@ -34,7 +34,9 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 SPACE = "\t-\r \x85\xa0  -     　"
 
 #: Words that a worker keeps encoded; beyond it the table starts anew.
-MAX_WORDS = 500_000
+MAX_WORDS = 250_000
+#: Pairs of tokens whose order a worker remembers as valid or not.
+MAX_PAIRS = 300_000
 
 _RUN = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _PIECE = regex.compile(PRETOKEN.replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]").replace(rf"[^[{SPACE}]", f"[^{SPACE}"))
@@ -100,7 +102,7 @@ class Vocabulary:
         """Whether ``a`` then ``b`` is the encoding of their bytes."""
         found = self._follows.get((a, b))
         if found is None:
-            if len(self._follows) > 2_000_000:
+            if len(self._follows) > MAX_PAIRS:
                 self._follows.clear()
             found = self._follows[a, b] = self.apart(a, b)
         return found
@@ -226,8 +228,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                batch = big.slice(at, 1000)
+            for at in range(0, big.num_rows, 500):
+                batch = big.slice(at, 500)
                 each = [own.runs(t or "") for t in column(batch, "text").to_pylist()]
                 # Each piece's runs fit the table at once; one with more distinct runs than the table holds is encoded by itself.
                 own.learn(set().union(*each))

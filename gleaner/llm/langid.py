@@ -35,7 +35,7 @@ from .common import column
 UNKNOWN = "und"
 BLOCK, LETTERS, SHARED = 1024, 96, 8
 #: Symbols that one step of the parser takes in at most, unless a single text has more.
-STEP = 4_000_000
+STEP = 1_500_000
 
 
 class Automaton:
@@ -205,8 +205,8 @@ def reject_unknown(docs: DataFrame, samples: tuple, text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(samples)
         for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                batch = big.slice(at, 1000)
+            for at in range(0, big.num_rows, 500):
+                batch = big.slice(at, 500)
                 named, _ = model.predict(column(batch, text_col).to_pylist())
                 yield batch.filter(pa.array([x != UNKNOWN for x in named], pa.bool_()))
 
