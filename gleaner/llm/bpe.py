@@ -34,7 +34,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 SPACE = "\t-\r \x85\xa0  -     　"
 
 #: Words that a worker keeps encoded; beyond it the table starts anew.
-MAX_WORDS = 250_000
+MAX_WORDS = 500_000
 #: Pairs of tokens whose order a worker remembers as valid or not.
 MAX_PAIRS = 300_000
 
@@ -165,8 +165,8 @@ def encode_trie(vocabulary: Vocabulary, words: list[bytes]) -> dict[bytes, list[
 class Encoder:
     """Texts to ids and back, sharing work between words."""
 
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, path: str, max_words: int | None = None):
+        self.vocabulary, self.max_words = Vocabulary(path), max_words or MAX_WORDS
         self.table: dict[str, tuple[str, int, bytes]] = {}
         self.words: dict[str, tuple[str, int, bytes]] = {}
         pieces = "|".join(re.escape(t) for t in self.vocabulary.special)
@@ -184,13 +184,13 @@ class Encoder:
     def learn(self, runs: set[str]) -> None:
         """Encodes, in one trie, the words of the runs that the tables lack."""
         new = [r for r in runs if r not in self.table]
-        if len(self.table) + len(new) > MAX_WORDS:
+        if len(self.table) + len(new) > self.max_words:
             self.table.clear()
             new = list(runs)
         special, known = self.vocabulary.special, self.words
         split = [_PIECE.findall(r) if r not in special else () for r in new]
         words = {w for ws in split for w in ws if w not in known}
-        if len(known) + len(words) > MAX_WORDS:
+        if len(known) + len(words) > self.max_words:
             known.clear()
             words = {w for ws in split for w in ws}
         raw, plain = {w.encode("utf-8", "surrogatepass"): w for w in words}, self.vocabulary.bytes
@@ -215,18 +215,19 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, max_words: int) -> Encoder:
+    return Encoder(path, max_words)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, max_words: int = MAX_WORDS) -> DataFrame:
     """Per row: the id column, n_tokens, ids_sha256 (of the decimal ids joined by commas) and
-    decoded_sha256 (of the text decoded from the ids); ``with_ids`` adds ids and decoded."""
+    decoded_sha256 (of the text decoded from the ids); ``with_ids`` adds ids and decoded.
+    ``max_words`` bounds a worker's table, and with it its memory; results do not depend on it."""
     fields = [docs.schema[id_col], *("n_tokens long, ids_sha256 string, decoded_sha256 string".split(", "))]
     ddl = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(fields[1:]) + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(path, max_words)
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 batch = big.slice(at, 500)

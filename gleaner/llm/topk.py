@@ -69,7 +69,7 @@ def packed(vectors: DataFrame, per_block: int, blocks: int, scale: float) -> Dat
         if rows:
             yield block(number, ids, rows)
 
-    return vectors.repartition(max(1, blocks), "id").mapInArrow(run, PACKED)
+    return vectors.repartition(max(1, blocks)).mapInArrow(run, PACKED)
 
 
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
