@@ -16,18 +16,18 @@ CANDIDATES = 200
 
 
 def postings(chunks: DataFrame, stemmed: bool = True, id_col: str = "chunk_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
-    """(term, chunk_id, positions, tf); with ``only`` (term), unstemmed, just of those terms, cut before any shuffle
-    if Spark finds them few enough to broadcast."""
+    """(term, chunk_id, positions, tf); with ``only`` (term) just of those terms. The vocabulary is cut to them first,
+    so other words go before any shuffle of positions if Spark finds the rest few enough to broadcast."""
     split = stemming.raw_tokens if stemmed else text.tokens
     rows = chunks.select(F.col(id_col).alias("chunk_id"), F.posexplode(split(F.col(text_col))).alias("position", "word"))
-    if only is not None:
-        rows = rows.join(only.select(F.col("term").alias("word")).distinct(), "word", "left_semi")
-    rows = rows.groupBy("word", "chunk_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    if not stemmed:
-        return rows.select(F.col("word").alias("term"), "chunk_id", "positions", F.size("positions").alias("tf"))
-    rows = stemming.with_stems(rows, "word", "term")
-    merged = rows.groupBy("term", "chunk_id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
-    return merged.withColumn("tf", F.size("positions"))
+    wanted = None if only is None else only.select("term").distinct()
+    if stemmed:
+        vocabulary = rows.select("word").distinct().withColumn("term", stemming.stem_column("word"))
+        rows = rows.join(vocabulary if wanted is None else vocabulary.join(wanted, "term", "left_semi"), "word")
+    else:
+        rows = rows.withColumnRenamed("word", "term")
+        rows = rows if wanted is None else rows.join(wanted, "term", "left_semi")
+    return rows.groupBy("term", "chunk_id").agg(F.sort_array(F.collect_list("position")).alias("positions")).withColumn("tf", F.size("positions"))
 
 
 def chunk_stats(chunks: DataFrame, stemmed: bool = True, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
