@@ -21,8 +21,10 @@ memory whole, a shard is not: frames are written as they are made.
 
 from __future__ import annotations
 
+import array
 import functools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -40,7 +42,10 @@ from .common import column, partitions, scratch
 MASK = 0xA282EAD8
 HEAD = struct.Struct("<BqB")
 #: Distinct chunks of text that a worker keeps encoded; beyond it the table starts anew.
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 600_000
+
+#: Latin-1 letters (stable under normalization), then ASCII marks other than the apostrophe, which starts pre-tokens of its own.
+_HALVES = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 def masked(data: bytes) -> int:
@@ -87,18 +92,29 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id) <= 0xFFFF else 4
         self.end = np.array([end_id], f"<u{self.width}").tobytes()
+        self.code = "H" if self.width == 2 else "I"
         self.known: dict[str, bytes] = {}
 
+    def learn(self, new: set[str]) -> None:
+        """A chunk of Latin-1 letters and then ASCII marks is its two halves, for pre-tokens end between them; and the
+        tokenizer lower-cases, so ASCII chunks share the entry of their lower case."""
+        halves = {c: (m[1].lower() if m[1].isascii() else m[1], m[2]) if (m := _HALVES.fullmatch(c)) else (c.lower() if c.isascii() and "<|" not in c else c,) for c in new}
+        known = self.known
+        parts = [p for p in {p for ps in halves.values() for p in ps} if p not in known]
+        for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
+            known[p] = array.array(self.code, e.ids).tobytes()
+        for c, ps in halves.items():
+            if c not in known:
+                known[c] = b"".join([known[p] for p in ps])
+
     def __call__(self, text: str) -> bytes:
         chunks, known = text.replace("\n", " ").split(" "), self.known
         new = {c for c in chunks if c not in known}
         if new:
-            if len(known) + len(new) > MAX_CHUNKS:
+            if len(known) + 2 * len(new) > MAX_CHUNKS:
                 known.clear()
                 new = set(chunks)
-            new = list(new)
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[c] = np.array(e.ids, f"<u{self.width}").tobytes()
+            self.learn(new)
         return b"".join([known[c] for c in chunks]) + self.end
 
 
