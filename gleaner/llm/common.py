@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests, local runs).
 LOCAL_SHARED = "file:///tmp/checkpoints/gleaner"
@@ -34,6 +35,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def first_of_each(rows: DataFrame, group: str, id_col: str, text_col: str) -> DataFrame:
+    """One row of each group: that of the least id, nulls last, ties by hash of the text."""
+    order = Window.partitionBy(group).orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(text_col))
+    return rows.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
