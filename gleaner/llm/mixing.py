@@ -154,16 +154,19 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 7, weights: tuple[int, ..
     table = table.select(F.col("source").alias("plan_source"), F.col("block").alias("plan_block"), "source_size", "target", "epochs", "extra", "border", "room", "homes")
     joined = sizes.join(table, F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("block") == F.col("plan_block")))
     inner, edge = joined.where("NOT border").withColumn("fits", F.col("extra")), joined.where("border")
-    # The border's documents go by their order while they fit; then, twice, the largest that still fits is added.
+    # The border's documents go by their order while they fit; then the largest that still fits is added, until none fits.
     border = Window.partitionBy("plan_source")
     filled = border.orderBy("place", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = edge.withColumn("upto", F.sum("size").over(filled)).withColumn("fits", (F.col("upto") <= F.col("room")).cast("int"))
     edge = edge.withColumn("left", F.col("room") - F.coalesce(F.max(F.when(F.col("fits") == 1, F.col("upto"))).over(border), F.lit(0)))
-    for _ in range(2):
-        wanted = (F.col("fits") == 0) & (F.col("size") <= F.col("left")) & (F.col("size") > 0)
-        edge = edge.withColumn("wanted", wanted).withColumn("nth", F.row_number().over(border.orderBy(F.desc("wanted"), F.desc("size"), "place", F.col("doc_id").asc_nulls_last())))
-        edge = edge.withColumn("added", F.col("wanted") & (F.col("nth") == 1)).withColumn("fits", F.when(F.col("added"), 1).otherwise(F.col("fits")))
-        edge = edge.withColumn("left", F.col("left") - F.coalesce(F.sum(F.when(F.col("added"), F.col("size"))).over(border), F.lit(0)))
+    # One pass by falling size: what is skipped doesn't fit later either, so in the end nothing more fits.
+    wanted = (F.col("fits") == 0) & (F.col("size") <= F.col("left")) & (F.col("size") > 0)
+    edge = edge.withColumn("wanted", wanted).withColumn("nth", F.row_number().over(border.orderBy(F.desc("wanted"), F.desc("size"), "place", F.col("doc_id").asc_nulls_last())))
+    begun = F.struct(F.col("left").cast("double").alias("left"), F.array().cast("array<int>").alias("added"))
+    fill = lambda a, x: F.when(x["size"] <= a.left, F.struct((a.left - x["size"]).alias("left"), F.concat(a.added, F.array(x.nth)).alias("added"))).otherwise(a)
+    asked = edge.where("wanted").groupBy(F.col("plan_source").alias("fill_source")).agg(F.max("left").alias("left"), F.sort_array(F.collect_list(F.struct("nth", "size"))).alias("sizes"))
+    added = asked.select("fill_source", F.aggregate("sizes", begun, fill, lambda a: a.added).alias("added"))
+    edge = edge.join(added, F.col("plan_source").eqNullSafe(F.col("fill_source")), "left").withColumn("fits", F.when(F.coalesce(F.array_contains("added", F.col("nth")), F.lit(False)), 1).otherwise(F.col("fits")))
     edge = edge.select(inner.columns)
     copies = F.col("epochs") + F.col("fits")
     return inner.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "place", F.transform(F.slice(F.coalesce("homes", F.array().cast("array<struct<epoch:bigint,shard:int>>")), F.lit(1), copies.cast("int")), lambda h: h.shard).alias("shards"))
