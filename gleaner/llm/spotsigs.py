@@ -109,7 +109,7 @@ def edited_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring("next_text", F.lit(1), quarter)))
     rows = rows.select("doc_id", "n_chars", "set", "next_set", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("edited")).alias("edited_set"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", digest(F.col("set")).alias("fingerprint"), digest(F.col("edited_set")).alias("edited_fingerprint"), likeness(F.col("set"), F.col("edited_set")).alias("near_edited"), likeness(F.col("set"), F.col("next_set")).alias("near_next"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", digest(F.col("set")).alias("fingerprint"), digest(F.col("edited_set")).alias("edited_fingerprint"), likeness(F.col("set"), F.col("edited_set"), 0.0).alias("near_edited"), likeness(F.col("set"), F.col("next_set"), 0.0).alias("near_next"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
