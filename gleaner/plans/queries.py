@@ -229,11 +229,11 @@ def evidence_passages(spark, sf_dir):
 
 
 def pair_queries(vecs: DataFrame) -> DataFrame:
-    """The searches: each vector whose id is divisible by 100, with the next one. A normalised sum is near both."""
+    """The searches: each vector whose id is divisible by 100, with the next one, or alone if there is none. A normalised sum is near both."""
     a = vecs.where("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("x"))
     c = vecs.where("vec_id % 100 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y"))
-    both = a.join(c, "vec_id")
-    total = F.zip_with("x", "y", lambda p, q: p.cast("double") + q.cast("double"))
+    both = a.join(c, "vec_id", "left")
+    total = F.zip_with("x", F.coalesce("y", "x"), lambda p, q: p.cast("double") + q.cast("double"))
     return both.select(F.col("vec_id").alias("query_id"), vectors.normalized(total).alias("vector"))
 
 
