@@ -16,13 +16,15 @@ lost or repeated task leaves behind is never read.
 
 Null texts count as empty, null ids come first, rows that share an id lie side by side in order of
 their text, an empty table gives an empty manifest; extra columns are not read. A record is held in
-memory whole, a shard is not: frames are written as they are made.
+memory whole, however long its text (it is encoded a piece at a time); a shard is not: frames are
+written as they are made.
 """
 
 from __future__ import annotations
 
 import array
 import functools
+import json
 import os
 import re
 import struct
@@ -36,16 +38,27 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, partitions, scratch
+from .common import column, partitions, scratch, texts
 
 #: Fixed value: what is added to the rotated checksum.
 MASK = 0xA282EAD8
 HEAD = struct.Struct("<BqB")
-#: Distinct chunks of text that a worker keeps encoded; beyond it the table starts anew.
-MAX_CHUNKS = 600_000
-
-#: Latin-1 letters (stable under normalization), then ASCII marks other than the apostrophe, which starts pre-tokens of its own.
-_HALVES = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+#: Distinct chunks of a generation that a worker keeps encoded; bytes of text encoded at once.
+MAX_CHUNKS, PIECE = 600_000, 1 << 16
+
+#: The form of a tokenizer file whose pre-tokens never span white space nor case nor the border of letters and marks.
+CUTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Lower-case Latin-1 letters (stable under normalization), then ASCII marks other than the apostrophe, which starts pre-tokens of its own.
+_HALVES = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def masked(data: bytes) -> int:
@@ -79,43 +92,115 @@ def unpack(data: bytes) -> tuple[int | None, np.ndarray]:
     return None if null else doc_id, np.frombuffer(payload, f"<u{width}", offset=HEAD.size)
 
 
+class Known(dict):
+    """Chunks to their ids. One that is not there is noted, and None."""
+
+    def __init__(self):
+        super().__init__()
+        self.lacking: list[bytes] = []
+
+    def __missing__(self, chunk):
+        self.lacking.append(chunk)
+
+
 class ChunkEncoder:
-    """A tokenizer whose pre-tokens never span a space: texts are encoded a space-separated chunk at
-    a time, and each distinct chunk once."""
+    """Texts to ids by a tokenizer. If its file proves that it drops white space, lower-cases, and cuts
+    words from marks (``CUTS``), texts are encoded a chunk between spaces at a time and each distinct chunk
+    once while a worker remembers it; any other tokenizer gets whole texts."""
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, max_chunks: int = MAX_CHUNKS):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id) <= 0xFFFF else 4
         self.end = np.array([end_id], f"<u{self.width}").tobytes()
-        self.code = "H" if self.width == 2 else "I"
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, new: set[str]) -> None:
-        """A chunk of Latin-1 letters and then ASCII marks is its two halves, for pre-tokens end between them; and the
-        tokenizer lower-cases, so ASCII chunks share the entry of their lower case."""
-        halves = {c: (m[1].lower() if m[1].isascii() else m[1], m[2]) if (m := _HALVES.fullmatch(c)) else (c.lower() if c.isascii() and "<|" not in c else c,) for c in new}
-        known = self.known
-        parts = [p for p in {p for ps in halves.values() for p in ps} if p not in known]
-        for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-            known[p] = array.array(self.code, e.ids).tobytes()
-        for c, ps in halves.items():
-            if c not in known:
-                known[c] = b"".join([known[p] for p in ps])
-
-    def __call__(self, text: str) -> bytes:
-        chunks, known = text.replace("\n", " ").split(" "), self.known
-        new = {c for c in chunks if c not in known}
-        if new:
-            if len(known) + 2 * len(new) > MAX_CHUNKS:
-                known.clear()
-                new = set(chunks)
+        self.code, self.max_chunks = "H" if self.width == 2 else "I", max_chunks
+        self.by_chunk = cuts_at_space(spec)
+        #: Chunks known, and those of the generation before: once the first is full it becomes the second.
+        self.known, self.before = Known(), Known()
+        if self.by_chunk:
+            # Words of lower-case letters need no normalizer and no pattern.
+            bare = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, CUTS["pre_tokenizer"]["pretokenizers"][1]]}
+            self.letters = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": bare, "truncation": None, "padding": None}))
+            self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [array.array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of letters: encoded as one text, and parted after each id that ends a word."""
+        ids = array.array(self.code, self.letters.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids).tobytes()
+        stops = (np.flatnonzero(self.ends[np.frombuffer(ids, f"<u{self.width}")]) + 1) * self.width
+        if len(stops) != len(words) or len(words) and stops[-1] != len(ids):
+            return self.plain([w.decode() for w in words])
+        cuts = [0, *stops.tolist()]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def learn(self, new: set[bytes]) -> None:
+        """A chunk of lower-case Latin-1 letters and then ASCII marks is its two halves, for pre-tokens end between them."""
+        known, before, halves = self.known, self.before, {}
+        for c in new:
+            ids = before.get(c)
+            if ids is not None:
+                known[c] = ids
+            else:
+                m = _HALVES.fullmatch(c)
+                halves[c] = m.groups() if m else (None, c)
+        words = sorted({h for h, _ in halves.values() if h is not None and h not in known})
+        rest = sorted({t for _, t in halves.values() if t and t not in known})
+        known.update(zip(words, self.words(words) if words else ()))
+        known.update(zip(rest, self.plain([c.decode() for c in rest]) if rest else ()))
+        known.update({c: known[h] + known[t] for c, (h, t) in halves.items() if h is not None and t})
+        known.lacking, before.lacking = [], []
+
+    def many(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, the end id after them."""
+        if not self.by_chunk:
+            return [ids + self.end for ids in self.plain([t.decode() for t in texts])]
+        # Lower case first, where that changes nothing: a special token is looked for in the text as it is, and some
+        # letters compose with a mark (U+0300 to U+033F, lead byte 0xCC) in lower case only.
+        chunks = [(t if b"<|" in t or b"\xcc" in t else t.lower()).split() for t in texts]
+        get = self.known.__getitem__
+        found = [list(map(get, c)) for c in chunks]
+        if self.known.lacking:
+            new = set(self.known.lacking)
+            if len(self.known) + 2 * len(new) > self.max_chunks:
+                self.known, self.before = Known(), self.known
             self.learn(new)
-        return b"".join([known[c] for c in chunks]) + self.end
+            for c, ids in zip(chunks, found):
+                at = 0
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at)
+                    ids[at] = self.known[c[at]]
+        return [b"".join(ids) + self.end for ids in found]
+
+    def __call__(self, text: bytes) -> bytes:
+        """The same of one text, however long: a piece at a time, cut at spaces."""
+        if len(text) <= PIECE or not self.by_chunk:
+            return self.many([text])[0]
+        out, at = [], 0
+        while at < len(text):
+            cut = len(text)
+            if at + PIECE < cut:
+                cut = text.rfind(b" ", at + 1, at + PIECE)
+                cut = text.find(b" ", at + PIECE) if cut < 0 else cut
+                cut = len(text) if cut < 0 else cut
+            out.append(self.many([text[at:cut]])[0][: -self.width])
+            at = cut
+        return b"".join(out) + self.end
+
+
+def cuts_at_space(spec: dict) -> bool:
+    """Whether a tokenizer file is of the form ``CUTS`` and its special tokens hold no space and start with ``<|``."""
+    form = {"normalizer": spec.get("normalizer"), "pre_tokenizer": spec.get("pre_tokenizer")}
+    special = all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec.get("added_tokens", []))
+    return form == CUTS and special and spec["model"]["type"] == "BPE" and bool(spec["model"].get("end_of_word_suffix"))
 
 
 @functools.lru_cache(maxsize=2)
@@ -127,6 +212,21 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def groups(rows: Iterator[tuple[int | None, bytes | None]]) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts, together about ``PIECE`` bytes of text at a time; a longer text by itself."""
+    ids, own, size = [], [], 0
+    for doc_id, text in rows:
+        text = text or b""
+        if own and size + len(text) > PIECE:
+            yield ids, own
+            ids, own, size = [], [], 0
+        ids.append(doc_id)
+        own.append(text)
+        size += len(text)
+    if own:
+        yield ids, own
+
+
 MANIFEST = "shard long, name string, records long, tokens long, bytes long"
 
 
@@ -144,12 +244,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
             if out is None and batch.num_rows:
                 files.create_dir(base, recursive=True)
                 out = files.open_output_stream(f"{base}/{name}.rec", compression=None, buffer_size=1 << 20)
-            for doc_id, text in zip(column(batch, "id").to_pylist(), column(batch, "text")):
-                ids = encode(text.as_py() or "")
-                data = pack(doc_id, ids, encode.width)
-                out.write(data)
-                index.append((at, len(data), tokens))
-                at, tokens = at + len(data), tokens + len(ids) // encode.width
+            for ids_of, own in groups(zip(column(batch, "id").to_pylist(), texts(batch))):
+                for doc_id, ids in zip(ids_of, encode.many(own) if len(own) > 1 else map(encode, own)):
+                    data = pack(doc_id, ids, encode.width)
+                    out.write(data)
+                    index.append((at, len(data), tokens))
+                    at, tokens = at + len(data), tokens + len(ids) // encode.width
         if out is not None:
             out.close()
             with files.open_output_stream(f"{base}/{name}.idx") as f:

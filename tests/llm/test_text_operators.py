@@ -75,6 +75,16 @@ def test_token_records_round_trip(spark, sf, tmp_path):
     assert sorted((r.doc_id is None, r.start) for r in records.round_trip(odd, WORD_BPE, 1).collect()) == [(False, 3), (False, 5), (True, 0), (True, 1)]
 
 
+def test_encoder_takes_shortcuts_only_where_the_file_proves_them():
+    texts = ["The garden Budget\nis here", "J\u030can T\u0308 x <|ENDOFTEXT|> <|endoftext|>", "Élan, élan! don't 12,5", "a" * 200_000, "w x " * 60_000, "word. " * 9, ""]
+    for path, cut in ((BYTE_BPE, False), (WORD_BPE, True)):
+        own, tokenizer = records.ChunkEncoder(path, 1, max_chunks=40), library(path)
+        assert own.by_chunk == cut
+        for t in texts + odd_texts(400, 6, "<|endoftext|>"):
+            got = np.frombuffer(own(t.encode()), f"<u{own.width}").tolist()
+            assert got == tokenizer.encode(t, add_special_tokens=False).ids + [1], t
+
+
 def test_damaged_records_are_noticed():
     data = records.pack(7, b"\x01\x00\x02\x00", 2)
     assert records.unpack(data)[0] == 7 and records.unpack(data)[1].tolist() == [1, 2]
