@@ -9,7 +9,7 @@ from gleaner.functions import vectors
 
 
 def threshold_sweep(scored: DataFrame, low: int = 45, high: int = 75) -> DataFrame:
-    """``scored`` (similarity, relevant boolean) to precision, recall and F1 at each threshold in hundredths.
+    """``scored`` (similarity, relevant boolean) to precision, found_share and F1 at each threshold in hundredths.
 
     One pass: rows are counted by the highest threshold they reach, then summed from above."""
     step = F.greatest(F.lit(low - 1), F.least(F.lit(high), F.floor(F.round(F.col("similarity") * 100, 9)).cast("int")))
@@ -18,9 +18,9 @@ def threshold_sweep(scored: DataFrame, low: int = 45, high: int = 75) -> DataFra
     above = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = steps.join(reached, "step", "left").fillna(0).withColumn("found", F.sum("right").over(above)).withColumn("wrong", F.sum("off").over(above))
     rows = rows.withColumn("total", F.max("found").over(Window.partitionBy())).where(F.col("step") >= low)
-    precision, recall = F.col("found") / F.greatest(F.col("found") + F.col("wrong"), F.lit(1)), F.col("found") / F.greatest(F.col("total"), F.lit(1))
-    rows = rows.withColumn("precision", precision).withColumn("recall", recall)
-    return rows.select((F.col("step") / 100.0).alias("threshold"), "found", "wrong", "precision", "recall", (2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1.1920929e-07))).alias("f1"))
+    precision, found_share = F.col("found") / F.greatest(F.col("found") + F.col("wrong"), F.lit(1)), F.col("found") / F.greatest(F.col("total"), F.lit(1))
+    rows = rows.withColumn("precision", precision).withColumn("found_share", found_share)
+    return rows.select((F.col("step") / 100.0).alias("threshold"), "found", "wrong", "precision", "found_share", (2 * F.col("precision") * F.col("found_share") / F.greatest(F.col("precision") + F.col("found_share"), F.lit(1.1920929e-07))).alias("f1"))
 
 
 def answer_quality(scored: DataFrame) -> DataFrame:

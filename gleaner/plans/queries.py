@@ -494,17 +494,17 @@ def debounce_sessions(spark, sf_dir):
     return changes.sessions(b.table(spark, sf_dir, "events"), "300 seconds").select("start", "last", "changes")
 
 
-SCORED = "s AS (SELECT CAST((doc_id * 37 % 101) AS DOUBLE) / 100 AS sim, quality = 1 AS relevant FROM labels), st AS (SELECT unnest(range(45, 76)) AS step), f AS (SELECT step, count(*) FILTER (WHERE relevant AND round(sim * 100) >= step) AS found, count(*) FILTER (WHERE NOT relevant AND round(sim * 100) >= step) AS wrong FROM st, s GROUP BY step), p AS (SELECT step, found, wrong, found / greatest(found + wrong, 1) AS precision, found / greatest((SELECT count(*) FROM s WHERE relevant), 1) AS recall FROM f)"
+SCORED = "s AS (SELECT CAST((doc_id * 37 % 101) AS DOUBLE) / 100 AS sim, quality = 1 AS relevant FROM labels), st AS (SELECT unnest(range(45, 76)) AS step), f AS (SELECT step, count(*) FILTER (WHERE relevant AND round(sim * 100) >= step) AS found, count(*) FILTER (WHERE NOT relevant AND round(sim * 100) >= step) AS wrong FROM st, s GROUP BY step), p AS (SELECT step, found, wrong, found / greatest(found + wrong, 1) AS precision, found / greatest((SELECT count(*) FROM s WHERE relevant), 1) AS found_share FROM f)"
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "labels").select((F.col("doc_id") * 37 % 101 / 100.0).alias("similarity"), (F.col("quality") == 1).alias("relevant"), (F.col("doc_id") % 10).alias("query_id"), "doc_id")
 
 
-@query(f"WITH {SCORED} SELECT step / 100.0::DOUBLE AS threshold, found, wrong, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / greatest(precision + recall, 1.1920929e-07), 6) AS f1 FROM p")
+@query(f"WITH {SCORED} SELECT step / 100.0::DOUBLE AS threshold, found, wrong, round(precision, 6) AS precision, round(found_share, 6) AS found_share, round(2 * precision * found_share / greatest(precision + found_share, 1.1920929e-07), 6) AS f1 FROM p")
 def threshold_sweep(spark, sf_dir):
     rows = calibration.threshold_sweep(labelled(spark, sf_dir).where("relevant IS NOT NULL"))
-    return rows.select("threshold", "found", "wrong", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+    return rows.select("threshold", "found", "wrong", *(F.round(c, 6).alias(c) for c in ("precision", "found_share", "f1")))
 
 
 @query("""WITH s AS (SELECT doc_id, doc_id % 10 AS q, CAST(CAST((doc_id * 37 % 101) AS DOUBLE) / 100 AS FLOAT) AS sim, quality = 1 AS rel FROM labels),
