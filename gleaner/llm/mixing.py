@@ -5,10 +5,11 @@ weigh 1, 2, 3, repeating, and share the total size; a target stops at ``most`` t
 size, and the excess is shared anew by weight. That is water filling: target = min(cap, level *
 weight), and the level follows from running sums over the sources sorted by cap / weight.
 
-A source's documents lie in a seeded random order: by a hash, cut into ``2**block_bits`` blocks of
-which the exact sizes are counted. Taking a source to its target means whole epochs of its blocks, a
-run of whole blocks more, and of the few blocks at the border the documents that still fit, so only a
-thousandth of a source (or ``margin`` documents) is ever ordered, and every window is bounded.
+A source's documents lie in a seeded random order: by a hash, cut into ``2**block_bits`` blocks (more
+where the largest source would otherwise have more than ``BLOCK_DOCS`` documents in one) of which the exact
+sizes are counted. Taking a source to its target means whole epochs of its blocks, a run of whole blocks
+more, and of the few blocks at the border the documents that still fit, so some thousands of documents of
+a source are ordered, whatever its size; the other windows run over blocks.
 
 Blocks drawn are dealt to ``shards`` output shards by a splitting tree: a node halves its shards, and
 how many blocks of each source go left is one multivariate hypergeometric draw, made source after
@@ -17,29 +18,36 @@ quotas, of length the number of sources). Each shard then takes the next blocks
 permuted order, so draws are disjoint, and orders its documents by a hash of their own.
 
 Nulls: a null text has size 0, a null source is a source, a null id is a document. Rows that repeat an
-id are documents of their own (they share a place in the order). Sources of size 0 have target 0. Draws
-depend on seed, ids and sources alone, so reruns agree. Extra columns are kept only by ``mixed``.
+id are documents of their own (they share a place in the order; ties go by a hash of the row). Sources of
+size 0 have target 0. Texts are counted where they are read, however long, and an empty table gives an
+empty mix. Draws depend on seed and rows alone, so reruns agree. Extra columns are kept only by ``mixed``,
+whatever their names (but ``__mix_*``).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Documents of a block, about, in the largest source.
+BLOCK_DOCS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """doc_id, source, size and the place (a hash, as a non-negative long) in the source's order."""
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, row (a hash of all columns), size and the place (a hash, as a non-negative long) in the source's order."""
+    row = F.xxhash64(*[docs[c] for c in docs.columns])
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), row.alias("row"), F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     return rows.withColumn("place", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), 1))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """source, source_size, weight, target (double). One row a source; the windows run over these rows."""
-    source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """source, source_size, source_docs, weight, target (double). One row a source; the windows run over these rows."""
+    source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))
     nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(nth - 1, F.lit(len(weights))) + 1).cast("int"))
     rows = source.withColumn("weight", weight).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
@@ -50,7 +58,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(earlier), F.lit(0.0))) / F.sum("weight").over(rest)
     rows = rows.withColumn("level", F.when(level <= F.col("cap") / F.col("weight"), level))
     rows = rows.withColumn("level", F.first("level", ignorenulls=True).over(everything))
-    return rows.select("source", "source_size", "weight", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    return rows.select("source", "source_size", "source_docs", "weight", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
 def hypergeometric(uniform: Column, good: Column, bad: Column, drawn: Column) -> Column:
@@ -124,12 +132,14 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, shards: int = 16, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_bits: int = 10, margin: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target, copies, taken (size * copies), place and
-    shards, one entry a copy."""
+    """Per row of ``docs``: doc_id, source, row, size, source_size, target, copies, taken (size * copies), place
+    and shards, one entry a copy."""
     sizes = materialize(sized(docs, id_col, text_col, source_col, seed), "sizes")
-    sizes = sizes.withColumn("block", F.shiftrightunsigned("place", 63 - block_bits))
     goal = materialize(targets(sizes, weights, most), "targets")
-    # Exact block sizes: at most ``blocks`` rows a source, so the windows below are bounded.
+    largest = goal.agg(F.max("source_docs")).first()[0] or 0
+    block_bits = max(block_bits, math.ceil(math.log2(max(1, largest / BLOCK_DOCS))))
+    sizes = sizes.withColumn("block", F.shiftrightunsigned("place", 63 - block_bits))
+    # Exact block sizes: a row for some thousands of documents of a large source.
     counted = materialize(sizes.groupBy("source", "block").agg(F.sum("size").alias("block_size"), F.count("*").alias("block_docs")), "blocks")
     plan = goal.select(F.col("source").alias("goal_source"), "source_size", "target")
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -156,12 +166,12 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 7, weights: tuple[int, ..
     inner, edge = joined.where("NOT border").withColumn("fits", F.col("extra")), joined.where("border")
     # The border's documents go by their order while they fit; then the largest that still fits is added, until none fits.
     border = Window.partitionBy("plan_source")
-    filled = border.orderBy("place", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = border.orderBy("place", F.col("doc_id").asc_nulls_last(), "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = edge.withColumn("upto", F.sum("size").over(filled)).withColumn("fits", (F.col("upto") <= F.col("room")).cast("int"))
     edge = edge.withColumn("left", F.col("room") - F.coalesce(F.max(F.when(F.col("fits") == 1, F.col("upto"))).over(border), F.lit(0)))
     # One pass by falling size: what is skipped doesn't fit later either, so in the end nothing more fits.
     wanted = (F.col("fits") == 0) & (F.col("size") <= F.col("left")) & (F.col("size") > 0)
-    edge = edge.withColumn("wanted", wanted).withColumn("nth", F.row_number().over(border.orderBy(F.desc("wanted"), F.desc("size"), "place", F.col("doc_id").asc_nulls_last())))
+    edge = edge.withColumn("wanted", wanted).withColumn("nth", F.row_number().over(border.orderBy(F.desc("wanted"), F.desc("size"), "place", F.col("doc_id").asc_nulls_last(), "row")))
     begun = F.struct(F.col("left").cast("double").alias("left"), F.array().cast("array<int>").alias("added"))
     fill = lambda a, x: F.when(x["size"] <= a.left, F.struct((a.left - x["size"]).alias("left"), F.concat(a.added, F.array(x.nth)).alias("added"))).otherwise(a)
     asked = edge.where("wanted").groupBy(F.col("plan_source").alias("fill_source")).agg(F.max("left").alias("left"), F.sort_array(F.collect_list(F.struct("nth", "size"))).alias("sizes"))
@@ -169,15 +179,18 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 7, weights: tuple[int, ..
     edge = edge.join(added, F.col("plan_source").eqNullSafe(F.col("fill_source")), "left").withColumn("fits", F.when(F.coalesce(F.array_contains("added", F.col("nth")), F.lit(False)), 1).otherwise(F.col("fits")))
     edge = edge.select(inner.columns)
     copies = F.col("epochs") + F.col("fits")
-    return inner.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "place", F.transform(F.slice(F.coalesce("homes", F.array().cast("array<struct<epoch:bigint,shard:int>>")), F.lit(1), copies.cast("int")), lambda h: h.shard).alias("shards"))
+    return inner.unionByName(edge).select("doc_id", "source", "row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "place", F.transform(F.slice(F.coalesce("homes", F.array().cast("array<struct<epoch:bigint,shard:int>>")), F.lit(1), copies.cast("int")), lambda h: h.shard).alias("shards"))
 
 
 def mixed(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **more) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken, shard by shard and shuffled within."""
+    """The mix itself: the rows of ``docs``, each as often as it is taken, shard by shard and shuffled within. Rows
+    that are alike in every column are one row, taken as often as all of them."""
     plan = mix(docs, shards, seed, id_col=id_col, text_col=text_col, source_col=source_col, **more)
-    taken = plan.where("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), F.col("place").alias("__mix_place"), F.col("shards").alias("__mix_shards")).dropDuplicates(["__mix_id", "__mix_source", "__mix_size"])
-    size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.join(taken, docs[id_col].eqNullSafe(F.col("__mix_id")) & docs[source_col].eqNullSafe(F.col("__mix_source")) & (size == F.col("__mix_size")))
-    rows = rows.withColumn("__mix_shard", F.explode("__mix_shards"))
-    order = F.xxhash64(F.lit(seed), "__mix_shard", "__mix_place")
-    return rows.repartition(shards, "__mix_shard").sortWithinPartitions("__mix_shard", order).select(*[docs[c] for c in docs.columns])
+    taken = plan.where("copies > 0").select(F.col("row").alias("__mix_row"), F.col("place").alias("__mix_place"), F.explode("shards").alias("__mix_shard"))
+    taken = taken.groupBy("__mix_row", "__mix_shard").agg(F.min("__mix_place").alias("__mix_place"), F.count("*").cast("int").alias("__mix_n"))
+    # One row of each, chosen before the shuffle by the same key that then meets the plan.
+    once = Window.partitionBy("__mix_row").orderBy(F.lit(0))
+    rows = docs.withColumn("__mix_row", F.xxhash64(*[docs[c] for c in docs.columns])).withColumn("__mix_nth", F.row_number().over(once)).where("__mix_nth = 1")
+    rows = rows.join(taken, "__mix_row").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
+    order = F.xxhash64(F.lit(seed), "__mix_shard", "__mix_place", "__mix_row")
+    return rows.repartition(shards, "__mix_shard").sortWithinPartitions("__mix_shard", order).select(*docs.columns)

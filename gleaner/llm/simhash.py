@@ -28,14 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize, partitions, texts
+from .common import column, join_hot, materialize, one_of_each, partitions, row_key, texts
 
 BITS, BLOCKS, SPLIT_BITS = 64, 4, 8
 #: Node pairs, and pairs of fingerprints, looked at in one step: bounds the memory of a task.
 STEP, LEAF = 1 << 18, 48
+#: Fingerprints that a task of the join holds, about.
+PER_TASK = 2_000_000
 
 
 def shingles(text: bytes | None, width: int) -> Iterator[bytes]:
@@ -47,9 +49,8 @@ def shingles(text: bytes | None, width: int) -> Iterator[bytes]:
     return map(b" ".join, zip(*(words[k:] for k in range(width))))
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, 42) for s in shingles(text, width)), np.uint64)
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in more than half of the hashes."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 4096):
         part = hashes[at : at + 4096]
@@ -57,15 +58,23 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id long, fp long): one row per row of ``docs``, as 64 bits in a signed long."""
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(s, 42) for s in shingles(text, width)), np.uint64))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keyed: bool = False) -> DataFrame:
+    """(doc_id long, fp long): one row per row of ``docs``, as 64 bits in a signed long; ``keyed`` adds ``key``, the
+    hash of id and text."""
+    more = ["key"] if keyed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t, width) for t in texts(batch)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(found.view(np.int64)), *(column(batch, c) for c in more)], ["doc_id", "fp", *more])
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), *(row_key(docs, id_col, text_col).alias(c) for c in more))
+    return own.mapInArrow(run, "doc_id long, fp long" + ", key long" * keyed)
 
 
 def _pairs(lo1, hi1, lo2, hi2) -> tuple[np.ndarray, np.ndarray]:
@@ -82,22 +91,30 @@ class _Forest:
 
     def __init__(self, n: int):
         self.label = np.arange(n)
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
         self._changes()
 
     def _changes(self):
         self.changes = np.concatenate(([0], np.cumsum(self.label[1:] != self.label[:-1]))) if len(self.label) else self.label
 
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Joins what the pairs link, and notes of the pairs those that did it: a spanning forest of real links."""
         a, b = self.label[i], self.label[j]
         if not (a != b).any():
             return
         parent = np.arange(len(self.label))
         while len(a):
-            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            order = np.lexsort((low, high))
+            first = order[np.concatenate(([True], high[order][1:] != high[order][:-1]))]
+            first = first[high[first] != low[first]]
+            self.pairs.append((i[first], j[first]))
+            parent[high[first]] = low[first]
             while not np.array_equal(up := parent[parent], parent):
                 parent = up
             a, b = parent[a], parent[b]
-            a, b = a[a != b], b[a != b]
+            apart = a != b
+            a, b, i, j = a[apart], b[apart], i[apart], j[apart]
         self.label = parent[self.label]
         self._changes()
 
@@ -107,8 +124,8 @@ class _Forest:
         return (c[hi1 - 1] == c[lo1]) & (c[hi2 - 1] == c[lo2]) & (self.label[lo1] == self.label[lo2])
 
 
-def trie_join(values: np.ndarray, seeds: list[tuple[np.ndarray, ...]], first_bit: int, budget: int, accept=None) -> np.ndarray:
-    """Component labels (least position) of ``values`` linked at up to ``budget`` differing bits.
+def trie_join(values: np.ndarray, seeds: tuple[np.ndarray, ...], first_bit: int, budget: int) -> _Forest:
+    """The components of ``values`` linked at up to ``budget`` differing bits: labels (least positions), and the pairs of a spanning forest.
 
     ``values``: uint64, sorted within each seed's ranges. ``seeds``: arrays lo1, hi1, lo2, hi2,
     differing bits so far, of node pairs; a node is paired with itself if its ranges are the same.
@@ -146,7 +163,7 @@ def trie_join(values: np.ndarray, seeds: list[tuple[np.ndarray, ...]], first_bit
         cross = [(lo1, mid1, mid2, hi2, diff + 1), (mid1[other], hi1[other], lo2[other], mid2[other], diff[other] + 1)]
         stack = lambda groups: tuple(np.concatenate(x) for x in zip(*groups))
         todo += [(bit + 1, stack(cross)), (bit + 1, stack(same))]
-    return forest.label
+    return forest
 
 
 def _rotations(fp) -> list:
@@ -155,24 +172,27 @@ def _rotations(fp) -> list:
 
 
 def links(groups: DataFrame, budget: int = 3, hot: int = 100_000) -> DataFrame:
-    """(src long, dst long): a forest whose components are those of all links between the distinct
-    values of column ``fp`` of ``groups``."""
+    """(src long, dst long): links between the distinct values of column ``fp`` of ``groups``, a spanning
+    forest a task, whose components are those of all links."""
     if not 0 <= budget < BLOCKS:
         raise ValueError("four blocks find links of up to three bits")
     spark, step = groups.sparkSession, BITS // BLOCKS
     turned = groups.select(F.posexplode(F.array(*_rotations(F.col("fp")))).alias("block", "rot")).withColumn("prefix", F.shiftrightunsigned("rot", BITS - step))
     # At most 4 * 65536 rows, whatever the input: safe to broadcast.
-    large = turned.groupBy("block", "prefix").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("block", "prefix", F.lit(True).alias("large"))
+    sizes = turned.groupBy("block", "prefix").agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > hot).select("block", "prefix", F.lit(True).alias("large"))
     near = [x for x in range(1 << SPLIT_BITS) if x.bit_count() <= budget]
     node = F.shiftrightunsigned("rot", BITS - step - SPLIT_BITS).bitwiseAND(F.lit((1 << SPLIT_BITS) - 1))
     code = lambda x: F.least("node", F.col("node").bitwiseXOR(x)) * (1 << SPLIT_BITS) + F.greatest("node", F.col("node").bitwiseXOR(x)) + 1
+    # A task's arrays hold some ``PER_TASK`` fingerprints, whatever the number of shuffle partitions.
+    rows = sizes.agg(F.sum(F.when(F.col("n") > hot, F.col("n") * len(near)).otherwise(F.col("n")))).first()[0] or 0
     # Node pair 0: the whole prefix; else one of the pairs below a large one.
     dealt = (
         turned.join(F.broadcast(large), ["block", "prefix"], "left")
         .withColumn("node", node)
         .select("rot", "block", "prefix", F.explode(F.when(F.col("large"), F.transform(F.array(*[F.lit(x).cast("long") for x in near]), code)).otherwise(F.array(F.lit(0).cast("long")))).alias("pair"))
         .select("rot", (F.shiftleft(F.col("pair"), 18) + F.col("prefix") * BLOCKS + F.col("block")).alias("key"))
-        .repartition(partitions(spark), "key")
+        .repartition(max(partitions(spark), -(-rows // PER_TASK)), "key")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +208,7 @@ def links(groups: DataFrame, budget: int = 3, hot: int = 100_000) -> DataFrame:
         end = np.append(start[1:], len(key))
         whole = pair[start] == 0
         zeros = np.zeros(len(start), np.int64)
-        label = trie_join(rot, tuple(x[whole] for x in (start, end, start, end, zeros)), step, budget)
+        forests = [trie_join(rot, tuple(x[whole] for x in (start, end, start, end, zeros)), step, budget)]
         # Below a large prefix: the pair of a node with itself, or of two nodes.
         a, b = (pair[start] - 1) >> SPLIT_BITS, (pair[start] - 1) & ((1 << SPLIT_BITS) - 1)
         if not whole.all():
@@ -197,13 +217,14 @@ def links(groups: DataFrame, budget: int = 3, hot: int = 100_000) -> DataFrame:
             split = ~whole & (a != b)
             alone = ~whole & (a == b)
             seeds = tuple(np.concatenate(x) for x in zip((start[alone], end[alone], start[alone], end[alone], zeros[alone]), (start[split], mid[split], mid[split], end[split], np.bitwise_count((a ^ b)[split]).astype(np.int64))))
-            below = trie_join(rot, seeds, step + SPLIT_BITS, budget)
-            label = np.where(np.repeat(whole, end - start), label, below)
+            forests.append(trie_join(rot, seeds, step + SPLIT_BITS, budget))
         back = (key & (BLOCKS - 1)).astype(np.uint64) * np.uint64(step)
         fp = np.where(back > 0, (rot >> back) | (rot << ((np.uint64(BITS) - back) & np.uint64(63))), rot).view(np.int64)
-        moved = label != np.arange(len(label))
-        found = np.unique(np.stack((fp[moved], fp[label[moved]])), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["src", "dst"])
+        linked = [x for f in forests for x in f.pairs]
+        if linked:
+            i, j = (np.concatenate(x) for x in zip(*linked))
+            found = np.unique(np.sort(np.stack((fp[i], fp[j])), axis=0), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[1]), pa.array(found[0])], ["src", "dst"])
 
     return dealt.mapInArrow(run, "src long, dst long")
 
@@ -212,42 +233,45 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of ``edges`` (src, dst longs) with the least node it reaches; roots too.
 
     Each large-star step joins every node's larger neighbours to its least one, each small-star step
-    its smaller ones and itself; minima are pre-aggregated, and both steps are plain equi-joins."""
+    its smaller ones and itself; minima are pre-aggregated, and the few nodes that hold a large share
+    of the edges are joined without a shuffle (``join_hot``)."""
     edges = materialize(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
     state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
-        large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
-        low = large.groupBy("src").agg(F.min("dst").alias("low"))
-        small = large.join(low, "src").select(F.when(F.col("dst") == F.col("low"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
-        edges = materialize(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
+        if tuple(now) == state or not now[0]:
             break
         state = tuple(now)
+        both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        least = both.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n")).withColumn("low", F.least("src", "low"))
+        large = join_hot(both, least, "src", 2 * now[0]).where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
+        large = materialize(large, "edges")
+        low = large.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n"))
+        small = join_hot(large, low, "src", 2 * now[0]).select(F.when(F.col("dst") == F.col("low"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
+        edges = materialize(small, "edges")
     roots = edges.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct()
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("root")).unionByName(roots)
 
 
+def _components(prints: DataFrame, budget: int, hot: int) -> DataFrame:
+    """``prints`` (doc_id, fp, ..) with component_id, the smallest id reachable over links, and root, a fingerprint."""
+    groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "groups")
+    members = materialize(groups.select("fp", "least").join(connected_components(links(groups, budget, hot)).withColumnRenamed("node", "fp"), "fp"), "members")
+    ids = members.groupBy("root").agg(F.min("least").alias("low"), F.count("*").alias("n"))
+    named = join_hot(members, ids, "root", members.count()).select("fp", "root", "low")
+    component = F.when(F.col("root").isNotNull(), F.col("low")).otherwise(F.col("least")).alias("component_id")
+    named = groups.join(named, "fp", "left").select("fp", "n", component, F.coalesce("root", "fp").alias("root"))
+    return join_hot(prints, named, "fp", prints.count())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3, hot: int = 100_000) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id, the smallest id reachable over links."""
     prints = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
-    members = connected_components(links(groups, budget, hot))
-    linked = materialize(groups.join(members.withColumnRenamed("node", "fp"), "fp", "left"), "linked")
-    ids = linked.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("low"))
-    named = linked.join(ids, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("low")).alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3) -> DataFrame:
-    """One document of each component, whole rows: the row whose id names the component. Of rows that
-    repeat an id the first by hash of its text stays; rows without an id are all kept, for nothing names them."""
-    found = near_duplicates(docs, id_col, text_col, width, budget)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept_id")).distinct()
-    key = docs[id_col].cast("long")
-    one = docs.join(kept, key == kept["__kept_id"], "left_semi")
-    once = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    one = one.withColumn("__repeat", F.row_number().over(once)).where("__repeat = 1").drop("__repeat")
-    return one.unionByName(docs.where(key.isNull()))
+    return _components(prints, budget, hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3, hot: int = 100_000) -> DataFrame:
+    """One document of each component, whole rows: the one of the least id."""
+    prints = materialize(fingerprints(docs, id_col, text_col, width, keyed=True), "fingerprints")
+    found = _components(prints, budget, hot).select("key", F.col("doc_id").alias("id"), "root")
+    return one_of_each(docs, found, id_col, text_col)

@@ -69,7 +69,7 @@ def test_dense_trie_is_joined_exactly():
         values ^= np.uint64(1) << b.astype(np.uint64)
     values = np.unique(values)
     one = lambda x: np.array([x], np.int64)
-    label = simhash.trie_join(values, (one(0), one(len(values)), one(0), one(len(values)), one(0)), 0, 3)
+    label = simhash.trie_join(values, (one(0), one(len(values)), one(0), one(len(values)), one(0)), 0, 3).label
     expected = brute([int(v) for v in values], 3)
     assert len(set(label)) == len(set(expected.values()))
 
@@ -95,3 +95,7 @@ def test_empty_table_and_keep_one(spark):
     rows = [(5, "a b c d"), (2, "a b c d"), (2, "a b c d"), (9, "other words are here"), (None, "n"), (None, None)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(2, "a b c d"), (9, "other words are here"), (None, "n"), (None, None)], key=str)
+    # A shared id drops nothing: only the copy of a text that another row has.
+    rows = [(1, "p q r s t"), (2, "p q r s t"), (2, "u v w x y"), (2, "k l m n o"), (None, "z a z b"), (None, "z a z b")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2], rows[3], rows[4]], key=str)
