@@ -4,23 +4,19 @@ import hashlib
 from collections import Counter
 
 import public_tokenizers
-from test_simhash import brute, plain_fingerprint
+from test_jaccard import brute_labels, plain_set
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gleaner.llm import queries
+from gleaner.llm import mixing, queries
+from gleaner.llm.common import partitions
 
 
 def kept_by_brute_force(rows):
-    lettered = [(k, t) for k, t in rows if t is not None and any(c.isalpha() for c in t)]
-    prints = {}
-    for k, t in lettered:
-        prints.setdefault(plain_fingerprint(t), []).append(k)
-    root = brute(prints, 3)
-    low = {}
-    for v, ids in prints.items():
-        low[root[v]] = min([low.get(root[v], min(ids)), *ids])
-    return {k: t for k, t in lettered if low[root[plain_fingerprint(t)]] == k}
+    """Of each group of texts whose five-word shingle sets are linked at similarity 0.8 the one of the least id."""
+    lettered = sorted((k, t) for k, t in rows if t is not None and any(c.isalpha() for c in t))
+    labels = brute_labels([plain_set(t) for _, t in lettered])
+    return dict(lettered[k] for k in set(labels))
 
 
 def test_stages_and_run(spark, sf):
@@ -36,6 +32,7 @@ def test_stages_and_run(spark, sf):
     assert c.columns == docs.columns
     copies = Counter(r.doc_id for r in c.collect())
     assert set(copies) <= set(kept) and max(copies.values()) <= 3
+    assert copies == Counter({r.doc_id: r.copies for r in mixing.mix(b, shards=partitions(spark)).collect() if r.copies})
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = Counter()
     for k, n in copies.items():
