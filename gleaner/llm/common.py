@@ -31,10 +31,16 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet in the shared folder and reads it back, so
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a scratch folder that nothing will read again."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Cuts the lineage: writes ``df`` as Parquet in the shared folder (or below ``folder``) and reads it back, so
     that a lost executor costs a read and never the work above."""
-    path = scratch(df.sparkSession, label)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}" if folder else scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -171,9 +171,9 @@ def _rotations(fp) -> list:
     return [fp if not k else F.shiftleft(fp, k * step).bitwiseOR(F.shiftrightunsigned(fp, BITS - k * step)) for k in range(BLOCKS)]
 
 
-def links(groups: DataFrame, budget: int = 3, hot: int = 100_000) -> DataFrame:
-    """(src long, dst long): links between the distinct values of column ``fp`` of ``groups``, a spanning
-    forest a task, whose components are those of all links."""
+def links(groups: DataFrame, budget: int = 3, hot: int = 100_000, real: bool = False) -> DataFrame:
+    """(src long, dst long): a forest a task whose components are those of all links between the distinct values
+    of column ``fp`` of ``groups``. ``real``: its edges are links themselves; else stars, quicker to merge."""
     if not 0 <= budget < BLOCKS:
         raise ValueError("four blocks find links of up to three bits")
     spark, step = groups.sparkSession, BITS // BLOCKS
@@ -220,35 +220,38 @@ def links(groups: DataFrame, budget: int = 3, hot: int = 100_000) -> DataFrame:
             forests.append(trie_join(rot, seeds, step + SPLIT_BITS, budget))
         back = (key & (BLOCKS - 1)).astype(np.uint64) * np.uint64(step)
         fp = np.where(back > 0, (rot >> back) | (rot << ((np.uint64(BITS) - back) & np.uint64(63))), rot).view(np.int64)
-        linked = [x for f in forests for x in f.pairs]
-        if linked:
+        if real:
+            linked = [(np.zeros(0, np.int64),) * 2, *(x for f in forests for x in f.pairs)]
             i, j = (np.concatenate(x) for x in zip(*linked))
-            found = np.unique(np.sort(np.stack((fp[i], fp[j])), axis=0), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[1]), pa.array(found[0])], ["src", "dst"])
+        else:
+            label = forests[0].label if whole.all() else np.where(np.repeat(whole, end - start), forests[0].label, forests[1].label)
+            i = np.flatnonzero(label != np.arange(len(label)))
+            j = label[i]
+        found = np.unique(np.sort(np.stack((fp[i], fp[j])), axis=0), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(found[1]), pa.array(found[0])], ["src", "dst"])
 
     return dealt.mapInArrow(run, "src long, dst long")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """(node, root): each node of ``edges`` (src, dst longs) with the least node it reaches; roots too.
 
     Each large-star step joins every node's larger neighbours to its least one, each small-star step
-    its smaller ones and itself; minima are pre-aggregated, and the few nodes that hold a large share
-    of the edges are joined without a shuffle (``join_hot``)."""
-    edges = materialize(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
+    its smaller ones and itself; minima are pre-aggregated, and both steps are plain equi-joins of two
+    longs a row, whose skewed partitions Spark splits."""
+    edges = materialize(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges", folder)
     state = None
     while True:
+        both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        least = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
+        large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
+        low = large.groupBy("src").agg(F.min("dst").alias("low"))
+        small = large.join(low, "src").select(F.when(F.col("dst") == F.col("low"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
+        edges = materialize(small, "edges", folder)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if tuple(now) == state or not now[0]:
+        if tuple(now) == state:
             break
         state = tuple(now)
-        both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n")).withColumn("low", F.least("src", "low"))
-        large = join_hot(both, least, "src", 2 * now[0]).where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
-        large = materialize(large, "edges")
-        low = large.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n"))
-        small = join_hot(large, low, "src", 2 * now[0]).select(F.when(F.col("dst") == F.col("low"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
-        edges = materialize(small, "edges")
     roots = edges.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct()
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("root")).unionByName(roots)
 
