@@ -39,14 +39,15 @@ def _short(stem: str) -> bool:
 
 
 def _swap(word: str, rules: list[tuple[str, str]], least: int) -> str:
-    for suffix, to in sorted(rules, key=lambda r: -len(r[0])):
+    for suffix, to in rules:
         if word.endswith(suffix) and len(word) > len(suffix):
             stem = word[: -len(suffix)]
             return stem + to if _measure(stem) > least else word
     return word
 
 
-_PAIRS2, _PAIRS3 = list(zip(STEP2[::2], STEP2[1::2])), list(zip(STEP3[::2], STEP3[1::2]))
+_PAIRS2, _PAIRS3 = (sorted(zip(x[::2], x[1::2]), key=lambda r: -len(r[0])) for x in (STEP2, STEP3))
+_LONGEST4 = sorted(STEP4, key=len, reverse=True)
 
 
 def porter(word: str) -> str:
@@ -75,7 +76,7 @@ def porter(word: str) -> str:
     if word.endswith("y") and "v" in _shape(word[:-1]):
         word = word[:-1] + "i"
     word = _swap(_swap(word, _PAIRS2, 0), _PAIRS3, 0)
-    for suffix in sorted(STEP4, key=len, reverse=True):
+    for suffix in _LONGEST4:
         if word.endswith(suffix) and len(word) > len(suffix):
             stem = word[: -len(suffix)]
             if _measure(stem) > 1 and (suffix != "ion" or stem[-1] in "st"):
@@ -121,6 +122,31 @@ def stem_column(words: pd.Series) -> pd.Series:
     return words.map(stem, na_action="ignore")
 
 
+_KNOWN: dict[str, str] = {}
+#: Words whose stems a worker keeps; beyond it the table starts anew.
+MOST_KNOWN = 1_000_000
+
+
+def known_stem(word: str) -> str:
+    found = _KNOWN.get(word)
+    if found is None:
+        if len(_KNOWN) >= MOST_KNOWN:
+            _KNOWN.clear()
+        found = _KNOWN[word] = stem(word)
+    return found
+
+
+def stems(text: Column) -> Column:
+    """The index tokens of a text, in order: cut by Catalyst, stemmed an Arrow batch at a time, each distinct word
+    once while a worker remembers it."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda ws: None if ws is None else [known_stem(w) for w in ws])
+
+    return run(raw_tokens(text))
+
+
 def with_stems(rows: DataFrame, word_col: str, out: str) -> DataFrame:
     """Adds the stem of ``word_col``: computed once a distinct word."""
     vocabulary = rows.select(word_col).distinct().withColumn(out, stem_column(word_col))

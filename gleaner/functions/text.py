@@ -46,6 +46,11 @@ def query_terms(query: Column) -> Column:
     return F.slice(F.when(F.size(telling) > 0, telling).otherwise(found), 1, MAX_TERMS)
 
 
+def chosen(terms: Column, mask: Column) -> Column:
+    """The terms whose places are set in ``mask``, in order."""
+    return F.filter(terms, lambda t, i: F.getbit(mask, i) == 1)
+
+
 def typed_forms(query: Column) -> Column:
     """Term to the word as typed, without outer punctuation; of several spellings the last."""
     shown = lambda w: F.regexp_replace(w, rf"^[^{ALNUM}]+|[^{ALNUM}]+$", "")

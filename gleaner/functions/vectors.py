@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import abc
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ALNUM
-
 MATCH_AT, MARGIN, FULL_AT = 0.55, 0.06, 0.75
 HASH_DIMENSIONS = 64
 
@@ -62,29 +62,39 @@ def to_bytes(vector: Column) -> Column:
     return encode(vector)
 
 
-def hash_bucket(word: Column) -> Column:
+_WORDS = regex.compile(r"[\p{Alphabetic}\p{N}]+")
+
+
+@functools.lru_cache(maxsize=1_000_000)
+def hash_bucket(word: str) -> int:
     """FNV-1a (64 bits) of a word's UTF-8 bytes, mod 64. The low six bits of a product and of an exclusive or
     need only the low six bits before: 37 and 51 are those of the offset and of the prime."""
-    def fold(hexes):
-        at = F.sequence(F.lit(1), F.length(hexes) - 1, F.lit(2))
-        byte = lambda i: F.conv(F.substring(hexes, i, F.lit(2)), 16, 10).cast("long")
-        return F.aggregate(at, F.lit(37).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * 51) % 64)
+    found = 37
+    for byte in word.encode():
+        found = ((found ^ byte) * 51) % HASH_DIMENSIONS
+    return found
 
-    return bound(F.hex(F.encode(word, "UTF-8")), fold)
 
-
-def hash_words(text: Column) -> Column:
+def hash_words(text: str) -> list[str]:
     """Words of more than two bytes, lower-cased, one final s dropped."""
-    found = F.regexp_extract_all(text, F.lit(rf"[{ALNUM}]+"), F.lit(0))
-    return F.transform(F.filter(found, lambda w: F.octet_length(w) > 2), lambda w: F.regexp_replace(F.lower(w), "s$", ""))
+    return [w.lower().removesuffix("s") for w in _WORDS.findall(text) if len(w) > 2 or len(w.encode()) > 2]
 
 
 def hash_embedding(text: Column) -> Column:
-    """The hash embedder as one expression: counts of word buckets, normalised."""
-    def counts(buckets):
-        return F.transform(F.sequence(F.lit(0), F.lit(HASH_DIMENSIONS - 1)), lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("double"))
+    """The hash embedder: counts of word buckets, normalised; a batch of texts at a time."""
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text):
+            if text is None:
+                return None
+            counts = np.bincount(np.fromiter(map(hash_bucket, hash_words(text)), np.int64), minlength=HASH_DIMENSIONS).astype(float)
+            norm = np.sqrt(counts @ counts)
+            return counts / norm if norm else counts
+
+        return texts.map(one)
 
-    return bound(bound(F.transform(hash_words(text), hash_bucket), counts), normalized)
+    return run(text)
 
 
 class Embedder(abc.ABC):

@@ -16,17 +16,11 @@ CANDIDATES = 200
 
 
 def postings(chunks: DataFrame, stemmed: bool = True, id_col: str = "chunk_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
-    """(term, chunk_id, positions, tf); with ``only`` (term) just of those terms. The vocabulary is cut to them first,
-    so other words go before any shuffle of positions if Spark finds the rest few enough to broadcast."""
-    split = stemming.raw_tokens if stemmed else text.tokens
-    rows = chunks.select(F.col(id_col).alias("chunk_id"), F.posexplode(split(F.col(text_col))).alias("position", "word"))
-    wanted = None if only is None else only.select("term").distinct()
-    if stemmed:
-        vocabulary = rows.select("word").distinct().withColumn("term", stemming.stem_column("word"))
-        rows = rows.join(vocabulary if wanted is None else vocabulary.join(wanted, "term", "left_semi"), "word")
-    else:
-        rows = rows.withColumnRenamed("word", "term")
-        rows = rows if wanted is None else rows.join(wanted, "term", "left_semi")
+    """(term, chunk_id, positions, tf); with ``only`` (term) just of those terms: other words go before any shuffle of
+    positions if Spark finds the wanted ones few enough to broadcast. Texts are read once."""
+    split = stemming.stems if stemmed else text.tokens
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), F.posexplode(split(F.col(text_col))).alias("position", "term"))
+    rows = rows if only is None else rows.join(only.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("term", "chunk_id").agg(F.sort_array(F.collect_list("position")).alias("positions")).withColumn("tf", F.size("positions"))
 
 
@@ -51,28 +45,44 @@ def bm25(tf: Column, dl: Column, avgdl: Column, weight: Column) -> Column:
 
 
 def phrase_frequency(posting: DataFrame, terms: DataFrame) -> DataFrame:
-    """``terms`` (key columns.., term_pos, term, words: array of index words) to rows (query_id, term_pos, term,
-    chunk_id, tf): how often each passage holds a term; a phrase's words must follow each other.
-
-    Each word's positions, less its place in the phrase, are where the phrase would start; a start that
-    all words share is an occurrence. One equi-join on the word, one aggregation."""
-    wanted = terms.select("query_id", "term_pos", "term", F.size("words").alias("length"), F.posexplode("words").alias("place", "word"))
-    found = posting.withColumnRenamed("term", "word").join(wanted, "word").drop("word")
-    single = found.where("length = 1").select("query_id", "term_pos", "term", "chunk_id", "tf")
-    starts = found.where("length > 1").select("query_id", "term_pos", "term", "chunk_id", "length", F.explode(F.transform("positions", lambda p: p - F.col("place"))).alias("start"))
-    whole = starts.groupBy("query_id", "term_pos", "term", "chunk_id", "length", "start").count().where("count = length")
-    return single.unionByName(whole.groupBy("query_id", "term_pos", "term", "chunk_id").agg(F.count("*").cast("int").alias("tf")))
+    """``terms`` (words: array of index words) to rows (words, chunk_id, tf): how often each passage holds each distinct
+    term; a phrase's words must follow each other.
+
+    A phrase starts from the postings of its rarest word; the others are looked up by word and passage. Positions
+    less the place in the phrase are where it would start; the starts that all words share are its occurrences."""
+    wanted = terms.select("words").distinct()
+    single = posting.join(wanted.where("size(words) = 1").select(F.get("words", 0).alias("term")), "term").select(F.array("term").alias("words"), "chunk_id", "tf")
+    places = wanted.where("size(words) > 1").select("words", F.posexplode("words").alias("place", "term"))
+    df = posting.join(places.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rarest = places.join(df, "term").groupBy("words").agg(F.min(F.struct("df", "place", "term")).alias("first"), F.count("*").alias("known")).where("known = size(words)")
+    shifted = lambda place: F.transform("positions", lambda p: p - place)
+    begun = rarest.select("words", F.col("first.place").alias("at"), F.col("first.term").alias("term")).join(posting, "term").select("words", "chunk_id", "at", shifted(F.col("at")).alias("starts"))
+    asked = begun.join(places, "words").where("place <> at").select("words", "chunk_id", "starts", "place", "term")
+    held = asked.join(posting.select("term", "chunk_id", "positions"), ["term", "chunk_id"]).select("words", "chunk_id", "starts", F.array_intersect("starts", shifted(F.col("place"))).alias("shared")).where(F.size("shared") > 0)
+    rows = held.groupBy("words", "chunk_id").agg(F.any_value("starts").alias("starts"), F.collect_list("shared").alias("each")).where("size(each) = size(words) - 1")
+    whole = rows.select("words", "chunk_id", F.size(F.aggregate("each", F.col("starts"), F.array_intersect)).alias("tf")).where("tf > 0")
+    return single.unionByName(whole)
 
 
 def scores(posting: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, bm25, matched): passages that hold at least one term; matched terms in query order."""
+    """(query_id, chunk_id, bm25, mask): passages that hold at least one term; bit ``term_pos`` of ``mask`` is set for
+    each that matches. A term's share of a passage's score is computed once, whatever the number of queries that
+    have it; queries fan out once, into one aggregation."""
     found = phrase_frequency(posting, terms)
-    df = found.groupBy("query_id", "term_pos").agg(F.count("*").alias("df"))
-    # One row each: the corpus and its mean length.
-    weighed = found.join(df, ["query_id", "term_pos"]).join(stats, "chunk_id").crossJoin(F.broadcast(corpus_stats(stats)))
-    each = weighed.withColumn("part", bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), idf(F.col("n"), F.col("df"))))
-    matched = F.transform(F.array_sort(F.collect_set(F.struct("term_pos", "term"))), lambda t: t.term)
-    return each.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("bm25"), matched.alias("matched"))
+    df = found.groupBy("words").agg(F.count("*").alias("df"))
+    # One row: the corpus and its mean length.
+    weighed = found.join(df, "words").join(stats, "chunk_id").crossJoin(F.broadcast(corpus_stats(stats)))
+    each = weighed.select("words", "chunk_id", bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), idf(F.col("n"), F.col("df"))).alias("part"))
+    asked = terms.select("query_id", "words", F.expr("shiftleft(1L, term_pos)").alias("bit"))
+    return each.join(asked, "words").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("bm25"), F.bit_or("bit").alias("mask"))
+
+
+def with_matched(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` with ``matched``, the query's terms of ``mask`` in order, and ``query_term_count``."""
+    own = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term_pos", "term"))).alias("own"))
+    own = own.select("query_id", F.col("own.term_pos").alias("at"), F.col("own.term").alias("own"))
+    held = F.filter(F.arrays_zip("at", "own"), lambda t: F.getbit(F.col("mask"), t["at"]) == 1)
+    return rows.join(own, "query_id").withColumn("matched", F.transform(held, lambda t: t["own"])).withColumn("query_term_count", F.size("own")).drop("at", "own", "mask")
 
 
 def term_rows(queries: DataFrame, stemmed: bool = True, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
@@ -104,11 +114,10 @@ def search(posting: DataFrame, stats: DataFrame, chunks: DataFrame, documents: D
 
     (query_id, rank, chunk_id, file_id, path, kind, page_number, matched_terms, query_term_count, bm25)."""
     terms = term_rows(queries, stemmed)
-    counts = terms.groupBy("query_id").agg(F.count("*").cast("int").alias("query_term_count"))
     best = best_passage(scores(posting, stats, terms), chunks.select("chunk_id", "document_id", "page_number"))
-    top = top_candidates(best).join(documents.select("document_id", "file_id"), "document_id").join(files.select("file_id", "path", "kind"), "file_id")
+    top = with_matched(top_candidates(best), terms).join(documents.select("document_id", "file_id"), "document_id").join(files.select("file_id", "path", "kind"), "file_id")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.size("matched")), "bm25", "chunk_id")
-    ranked = top.join(counts, "query_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    ranked = top.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return ranked.select("query_id", "rank", "chunk_id", "file_id", "path", "kind", "page_number", F.col("matched").alias("matched_terms"), "query_term_count", "bm25")
 
 

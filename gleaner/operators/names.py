@@ -10,16 +10,37 @@ from gleaner.functions import text
 CANDIDATES = 200
 
 
+def word_matches(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, term_pos, file_id): names with a word that starts with a one-word term's stem. Each distinct word offers its
+    prefixes once, so prefixes and stems meet in an equi-join and no name is held against every term."""
+    stemmed = terms.where("size(words) = 1").withColumn("stem", text.plural_stem(F.col("term")))
+    beginnings = F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.substring(F.col("word"), F.lit(1), k))
+    starts = words.select("word").distinct().select("word", F.explode(beginnings).alias("stem")).join(stemmed.select("stem").distinct(), "stem")
+    return words.join(starts, "word").join(stemmed, "stem").select("query_id", "term_pos", "file_id")
+
+
+def phrase_matches(named: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, term_pos, file_id): names that hold a phrase's words in a row, found by its first two."""
+    phrases = terms.where("size(words) > 1").withColumn("two", F.slice("words", 1, 2))
+    pairs = named.where(F.size("own") > 1).select("file_id", "own", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("own") - 1), lambda k: F.slice("own", k, 2))).alias("at", "two"))
+    return pairs.join(phrases, "two").where(F.slice("own", F.col("at") + 1, F.size("words")) == F.col("words")).select("query_id", "term_pos", "file_id")
+
+
 def search(files: DataFrame, documents: DataFrame, queries: DataFrame, strict_prefilter: bool = False, limit: int = CANDIDATES) -> DataFrame:
     """(query_id, file_id, path, kind, matched_terms, term_count): files, read or not, whose name or title has a term.
 
     ``strict_prefilter`` also asks that some term occurs as a plain substring."""
     named = files.select("file_id", "path", "kind", "filename").join(documents.select("file_id", "title"), "file_id", "left")
+    named = named.withColumn("own", text.pieces(F.concat("filename", F.lit(" "), F.coalesce("title", F.lit("")))))
     asked = queries.select("query_id", text.query_terms(F.col("query")).alias("terms")).where(F.size("terms") > 0)
-    rows = named.join(asked)
+    terms = asked.select("query_id", F.posexplode("terms").alias("term_pos", "term")).withColumn("words", F.split("term", " "))
+    found = word_matches(named.select("file_id", F.explode(F.array_distinct("own")).alias("word")), terms).unionByName(phrase_matches(named, terms))
+    # A query has at most 64 terms: which of them match is one long.
+    rows = found.groupBy("query_id", "file_id").agg(F.bit_or(F.expr("shiftleft(1L, term_pos)")).alias("mask"))
     if strict_prefilter:
-        rows = rows.where(text.name_prefilter(F.col("terms"), F.col("filename"), F.col("title")))
-    rows = rows.withColumn("matched_terms", text.name_terms(F.col("terms"), F.concat("filename", F.lit(" "), F.coalesce("title", F.lit("")))))
+        rows = rows.join(asked, "query_id").join(named.select("file_id", "filename", "title"), "file_id")
+        rows = rows.where(text.name_prefilter(F.col("terms"), F.col("filename"), F.col("title"))).select("query_id", "file_id", "mask")
     first = Window.partitionBy("query_id").orderBy("file_id")
-    found = rows.where(F.size("matched_terms") > 0).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit)
-    return found.select("query_id", "file_id", "path", "kind", "matched_terms", F.size("terms").alias("term_count"))
+    rows = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit).join(asked, "query_id").join(named.select("file_id", "path", "kind"), "file_id")
+    matched = text.chosen(F.col("terms"), F.col("mask"))
+    return rows.select("query_id", "file_id", "path", "kind", matched.alias("matched_terms"), F.size("terms").alias("term_count"))

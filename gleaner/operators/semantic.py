@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,24 +14,82 @@ from gleaner.functions import vectors
 CANDIDATES = 200
 
 
-def similarities(embeddings: DataFrame, queries: DataFrame, model: str | None = None, dimensions: int | None = None) -> DataFrame:
-    """(query_id, chunk_id, similarity) of every stored vector of the model and dimension with each query's vector.
+#: Numbers of all queries together that are sent to every task; more go in blocks of tables.
+SENT = 1 << 23
+
 
-    Queries are the stated few; Spark broadcasts them while their size allows and pairs blocks otherwise."""
+def of_model(embeddings: DataFrame, model: str | None, dimensions: int | None) -> DataFrame:
     stored = embeddings
     if model is not None:
         stored = stored.where(F.col("model") == model)
     if dimensions is not None:
         stored = stored.where(F.size("embedding") == dimensions)
-    both = stored.select("chunk_id", "embedding").join(queries.select("query_id", "vector"))
+    return stored
+
+
+def similarities(embeddings: DataFrame, queries: DataFrame, model: str | None = None, dimensions: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, similarity) of every stored vector of the model and dimension with each query's vector."""
+    both = of_model(embeddings, model, dimensions).select("chunk_id", "embedding").join(queries.select("query_id", "vector"))
     return both.select("query_id", "chunk_id", vectors.dot(F.col("embedding"), F.col("vector")).alias("similarity"))
 
 
-def nearest(embeddings: DataFrame, queries: DataFrame, limit: int = CANDIDATES, model: str | None = None, dimensions: int | None = None) -> DataFrame:
-    """The ``limit`` nearest passages of each query; ties to the lower id. Partial top-k runs before the shuffle."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    rows = similarities(embeddings, queries, model, dimensions).withColumn("rank", F.row_number().over(order))
-    return rows.where(F.col("rank") <= limit)
+def matrix(lists: pa.ListArray, dim: int | None = None) -> np.ndarray:
+    """Rows of doubles, of the longest's length (or ``dim``); what is missing or null is 0."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten().cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+    dim = int(sizes.max(initial=0)) if dim is None else dim
+    if len(sizes) and (sizes == dim).all():
+        return flat.reshape(len(sizes), dim)
+    out = np.zeros((len(sizes), dim))
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    for k in range(len(sizes)):
+        n = min(dim, sizes[k])
+        out[k, :n] = flat[at[k] : at[k] + n]
+    return out
+
+
+def tile_top(stored: DataFrame, asked: tuple[np.ndarray, np.ndarray], limit: int, digits: int | None) -> DataFrame:
+    """(query_id, chunk_id, similarity): the best of each task, ``limit`` a query. A batch of stored vectors times all
+    queries is one matrix product; a task holds one such tile and its best so far."""
+    ids, wanted = asked
+    key = (lambda x: x) if digits is None else (lambda x: np.round(x, digits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        for batch in batches:
+            chunks, tile = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1), wanted.shape[1]) @ wanted.T
+            for q in range(len(ids)):
+                sims, own = tile[:, q], chunks
+                ranked = key(sims)
+                if len(sims) > 2 * limit:
+                    # Whatever is below the limit-th of this batch can't be among the best.
+                    keep = ranked >= np.partition(ranked, len(ranked) - limit)[len(ranked) - limit]
+                    sims, own = sims[keep], own[keep]
+                sims, own = np.concatenate((best[q][0], sims)), np.concatenate((best[q][1], own))
+                order = np.lexsort((own, -key(sims)))[:limit]
+                best[q] = sims[order], own[order]
+        sizes = [len(x) for x, _ in best]
+        if sum(sizes):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([c for _, c in best])), pa.array(np.concatenate([s for s, _ in best]))], ["query_id", "chunk_id", "similarity"])
+
+    return stored.mapInArrow(run, "query_id long, chunk_id long, similarity double")
+
+
+def nearest(embeddings: DataFrame, queries: DataFrame, limit: int = CANDIDATES, model: str | None = None, dimensions: int | None = None, digits: int | None = None) -> DataFrame:
+    """The ``limit`` nearest passages of each query, with rank; ties (at ``digits`` decimals, if given) to the lower id.
+
+    Queries whose numbers are at most ``SENT`` go to every task as one matrix, and tasks send their best only; more
+    queries meet the vectors in a join, and Spark ranks before the shuffle."""
+    if (queries.agg(F.sum(F.size("vector").cast("long"))).first()[0] or 0) <= SENT:
+        asked = queries.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "vector").toArrow()
+        found = asked["query_id"].to_numpy(), matrix(asked["vector"].combine_chunks())
+        stored = of_model(embeddings, model, dimensions).where("embedding IS NOT NULL AND chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
+        rows = tile_top(stored, found, limit, digits).withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
+    else:
+        rows = similarities(embeddings, queries, model, dimensions)
+    key = F.col("similarity") if digits is None else F.round("similarity", digits)
+    order = Window.partitionBy("query_id").orderBy(F.desc(key), "chunk_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 def matches(near: DataFrame) -> DataFrame:

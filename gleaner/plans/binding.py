@@ -12,10 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids of the image files: those of documents from here on.
+IMAGES = 1_000_000_000
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    ext = F.element_at(F.array(*map(F.lit, ("pdf", "txt", "md", "docx", "png"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    rows = docs.withColumn("extension", ext).withColumn("filename", F.concat(F.lit("Doc "), F.col("doc_id").cast("string"), F.lit("."), "extension"))
+    """Every document as a readable file, and beside each fifth an image file without text of its own."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "text")
+    ext = F.element_at(F.array(*map(F.lit, ("pdf", "txt", "md", "docx"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    images = docs.where("doc_id % 5 = 4").select(F.col("doc_id") + IMAGES, "source", F.lit(10).cast("long"), F.concat(F.lit("image "), F.col("doc_id").cast("string")), F.lit("png"), F.lit("Img "), "doc_id")
+    rows = docs.withColumn("extension", ext).withColumn("named", F.lit("Doc ")).withColumn("number", F.col("doc_id"))
+    rows = rows.union(images).withColumn("filename", F.concat("named", F.col("number").cast("string"), F.lit("."), "extension"))
     rows = rows.withColumn("path", F.concat(F.lit("/"), "source", F.lit("/"), "filename"))
     kind = text.file_kind(F.col("filename"))
     return rows.select(

@@ -31,11 +31,12 @@ def query(sql: str | None = None):
 
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 FILES = """files AS (
-  SELECT doc_id AS file_id, CAST(substr(source, 4) AS INTEGER) AS location_id, '/' || source || '/Doc ' || doc_id || '.' || e AS path,
-    'Doc ' || doc_id || '.' || e AS filename, e AS extension,
+  SELECT id AS file_id, CAST(substr(source, 4) AS INTEGER) AS location_id, '/' || source || '/' || named || doc_id || '.' || e AS path,
+    named || doc_id || '.' || e AS filename, e AS extension,
     CASE e WHEN 'txt' THEN 'text' WHEN 'md' THEN 'markdown' WHEN 'png' THEN 'image' ELSE e END AS kind, n_chars AS size_bytes,
-    CASE WHEN doc_id % 17 <> 0 THEN doc_id * 1000 END AS modified_at, CASE WHEN e = 'png' THEN 'pending' ELSE 'indexed' END AS status, text
-  FROM (SELECT *, ['pdf', 'txt', 'md', 'docx', 'png'][doc_id % 5 + 1] AS e FROM documents))"""
+    CASE WHEN id % 17 <> 0 THEN id * 1000 END AS modified_at, CASE WHEN e = 'png' THEN 'pending' ELSE 'indexed' END AS status, text
+  FROM (SELECT doc_id AS id, doc_id, source, n_chars, text, ['pdf', 'txt', 'md', 'docx'][doc_id % 4 + 1] AS e, 'Doc ' AS named FROM documents
+    UNION ALL SELECT doc_id + 1000000000, doc_id, source, 10, 'image ' || doc_id, 'png', 'Img ' FROM documents WHERE doc_id % 5 = 4))"""
 STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
 TERMS = rf"""q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 t1 AS (SELECT query_id, list_filter(list_transform(regexp_extract_all(query, '[^\s]+'), lambda w: array_to_string({TOKENS.format("w")}, ' ')), lambda t: t <> '') AS l FROM q),
@@ -43,9 +44,12 @@ t2 AS (SELECT query_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS
 t3 AS (SELECT query_id, l, list_filter(l, lambda x: NOT list_contains({STOP}, x)) AS c FROM t2),
 term_lists AS (SELECT query_id, (CASE WHEN len(c) > 0 THEN c ELSE l END)[1:16] AS terms FROM t3),
 terms AS (SELECT query_id, unnest(range(len(terms))) AS term_pos, unnest(terms) AS term FROM term_lists)"""
-BM25 = f"""tok AS (SELECT chunk_id, unnest({TOKENS.format("text")}) AS term FROM ch),
-tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
-dl AS (SELECT chunk_id, len({TOKENS.format("text")}) AS dl FROM ch),
+BM25 = f"""tk AS (SELECT chunk_id, {TOKENS.format("text")} AS l FROM ch),
+pos AS (SELECT chunk_id, unnest(l) AS w1, unnest(range(len(l))) AS i FROM tk),
+dt AS (SELECT DISTINCT term, string_split(term, ' ') AS w FROM terms),
+tf AS (SELECT term, chunk_id, count(*) AS tf FROM dt JOIN pos ON w1 = w[1] WHERE len(w) = 1 GROUP BY ALL
+  UNION ALL SELECT term, pos.chunk_id, count(*) FROM dt JOIN pos ON w1 = w[1] JOIN tk USING (chunk_id) WHERE len(w) > 1 AND l[i + 1:i + len(w)] = w GROUP BY ALL),
+dl AS (SELECT chunk_id, len(l) AS dl FROM tk),
 cs AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 sc AS (SELECT query_id, chunk_id, round(sum(-greatest(CASE WHEN n + 0.0 > 2 * df THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END, 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25, count(*) AS matched
@@ -56,28 +60,26 @@ READ = "ch AS (SELECT file_id AS chunk_id, text FROM files WHERE kind <> 'image'
 # --- keyword -----------------------------------------------------------------------------------
 
 
-def single_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.term_rows(b.queries(spark, sf_dir), stemmed=False).where(F.size("words") == 1)
+def typed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword.term_rows(b.queries(spark, sf_dir), stemmed=False)
 
 
 def scored(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
-    terms = single_terms(spark, sf_dir)
-    found = keyword.scores(keyword.postings(chunks, stemmed=False, only=terms), keyword.chunk_stats(chunks, stemmed=False), terms)
+    terms = typed_terms(spark, sf_dir)
+    words = terms.select(F.explode("words").alias("term"))
+    found = keyword.scores(keyword.postings(chunks, stemmed=False, only=words), keyword.chunk_stats(chunks, stemmed=False), terms)
     return found.withColumn("bm25", F.round("bm25", 6))
 
 
-SINGLE = TERMS.replace("terms AS (SELECT query_id, unnest(range(len(terms))) AS term_pos, unnest(terms) AS term FROM term_lists)", "all_terms AS (SELECT query_id, unnest(range(len(terms))) AS term_pos, unnest(terms) AS term FROM term_lists),\nterms AS (SELECT * FROM all_terms WHERE NOT contains(term, ' '))")
-
-
-@query(f"WITH {FILES}, {READ}, {SINGLE}, {BM25} SELECT * FROM (SELECT query_id, chunk_id, bm25, matched, row_number() OVER (PARTITION BY query_id ORDER BY bm25, chunk_id) AS rank FROM sc) WHERE rank <= 10")
+@query(f"WITH {FILES}, {READ}, {TERMS}, {BM25} SELECT * FROM (SELECT query_id, chunk_id, bm25, matched, row_number() OVER (PARTITION BY query_id ORDER BY bm25, chunk_id) AS rank FROM sc) WHERE rank <= 10")
 def bm25_unstemmed(spark, sf_dir):
     rows = scored(spark, sf_dir, b.passages(spark, sf_dir))
     order = Window.partitionBy("query_id").orderBy("bm25", "chunk_id")
-    ranked = rows.select("query_id", "chunk_id", "bm25", F.size("matched").cast("long").alias("matched"), F.row_number().over(order).cast("long").alias("rank"))
+    ranked = rows.select("query_id", "chunk_id", "bm25", F.bit_count("mask").cast("long").alias("matched"), F.row_number().over(order).cast("long").alias("rank"))
     return ranked.where("rank <= 10")
 
 
-@query(f"WITH ch AS (SELECT conv_id * 1000 + turn AS chunk_id, conv_id AS document_id, text FROM conversations), {SINGLE}, {BM25} SELECT query_id, document_id, chunk_id, bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY bm25, chunk_id) AS k FROM sc JOIN ch USING (chunk_id)) WHERE k = 1")
+@query(f"WITH ch AS (SELECT conv_id * 1000 + turn AS chunk_id, conv_id AS document_id, text FROM conversations), {TERMS}, {BM25} SELECT query_id, document_id, chunk_id, bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY bm25, chunk_id) AS k FROM sc JOIN ch USING (chunk_id)) WHERE k = 1")
 def best_passage_per_file(spark, sf_dir):
     chunks = b.pages(spark, sf_dir).select("chunk_id", "document_id", "text")
     return keyword.best_passage(scored(spark, sf_dir, chunks), chunks.select("chunk_id", "document_id")).select("query_id", "document_id", "chunk_id", "bm25")
@@ -88,22 +90,21 @@ def query_terms(spark, sf_dir):
     return keyword.term_rows(b.queries(spark, sf_dir), stemmed=False).select("query_id", F.col("term_pos").cast("long").alias("term_pos"), "term")
 
 
-PHRASES = f"p AS (SELECT item_id AS query_id, {TOKENS.format('text')}[1:2] AS w FROM benchmark), ph AS (SELECT query_id, w FROM p WHERE len(w) = 2)"
-
-
-@query(f"""WITH {PHRASES}, tk AS (SELECT doc_id, {TOKENS.format("text")} AS l FROM documents),
-pos AS (SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS i FROM tk)
-SELECT query_id, a.doc_id AS chunk_id, count(*) AS tf FROM ph JOIN pos a ON a.term = w[1] JOIN pos c ON c.doc_id = a.doc_id AND c.term = w[2] AND c.i = a.i + 1 GROUP BY ALL""")
+@query(f"""WITH p AS (SELECT item_id AS query_id, {TOKENS.format("text")} AS l FROM benchmark), ph AS (SELECT DISTINCT query_id, unnest(list_transform(range(1, len(l)), lambda i: l[i:i + 1])) AS w FROM p),
+tk AS (SELECT doc_id, {TOKENS.format("text")} AS l FROM documents), two AS (SELECT doc_id, unnest(list_transform(range(1, len(l)), lambda i: l[i:i + 1])) AS w FROM tk)
+SELECT query_id, array_to_string(w, ' ') AS phrase, doc_id AS chunk_id, count(*) AS tf FROM ph JOIN two USING (w) GROUP BY ALL""")
 def phrase_match(spark, sf_dir):
+    """Every two words in a row of every benchmark text."""
     docs = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    phrases = b.queries(spark, sf_dir).select("query_id", F.lit(0).alias("term_pos"), F.slice(text.tokens(F.col("query")), 1, 2).alias("words")).where(F.size("words") == 2).withColumn("term", F.array_join("words", " "))
-    return keyword.phrase_frequency(keyword.postings(docs, stemmed=False, only=phrases.select(F.explode("words").alias("term"))), phrases).select("query_id", "chunk_id", F.col("tf").cast("long").alias("tf"))
+    words = b.queries(spark, sf_dir).select("query_id", text.tokens(F.col("query")).alias("all")).where(F.size("all") > 1)
+    phrases = words.select("query_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("all") - 1), lambda k: F.slice("all", k, 2))).alias("words")).distinct()
+    found = keyword.phrase_frequency(keyword.postings(docs, stemmed=False, only=phrases.select(F.explode("words").alias("term"))), phrases)
+    return found.join(phrases, "words").select("query_id", F.array_join("words", " ").alias("phrase"), "chunk_id", F.col("tf").cast("long").alias("tf"))
 
 
 def asked_postings(chunks: DataFrame, asked: DataFrame) -> DataFrame:
-    """The stemmed postings that the searches need; read more than once, so kept."""
-    words = keyword.term_rows(asked).select(F.explode("words").alias("term"))
-    return keyword.postings(chunks, only=words).persist()
+    """The stemmed postings that the searches need."""
+    return keyword.postings(chunks, only=keyword.term_rows(asked).select(F.explode("words").alias("term")))
 
 
 @query()
@@ -135,28 +136,33 @@ def highlight_words(spark, sf_dir):
 
 # --- names -------------------------------------------------------------------------------------
 
-NAME_TERMS = "SELECT unnest([1, 2]) AS query_id, unnest([['doc', '12', 'pdfs'], ['7 pdf', 'zzz', '1']]) AS terms"
 TITLED = r"named AS (SELECT file_id, filename, CASE WHEN kind <> 'image' THEN regexp_extract(text, '^[^\s]+') END AS title FROM files)"
 OWN = TOKENS.format("filename || ' ' || coalesce(title, '')")
 STEM = "(CASE WHEN ends_with(t, 's') AND strlen(t) >= 4 THEN left(t, length(t) - 1) ELSE t END)"
 HAS = f"CASE WHEN contains(t, ' ') THEN contains(' ' || array_to_string(own, ' ') || ' ', ' ' || t || ' ') ELSE len(list_filter(own, lambda w: starts_with(w, {STEM}))) > 0 END"
 
 
-def name_queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, "Doc 12 pdfs"), (2, "7.pdf zzz 1")], "query_id int, query string")
+NAMED = f"n AS (SELECT query_id, file_id, term AS t, {OWN} AS own FROM named, terms)"
+#: Searches that names answer: of each benchmark text its last word, a file's name, and a phrase of one.
+NAME_QUERIES = TERMS.replace("SELECT item_id AS query_id, text AS query FROM benchmark", "SELECT item_id AS query_id, regexp_extract(text, '[^ ]+$') || ' Docs 1' || item_id || ' img-4.png md' AS query FROM benchmark")
+
+
+def name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = b.queries(spark, sf_dir)
+    return asked.select("query_id", F.concat(F.regexp_extract("query", "[^ ]+$", 0), F.lit(" Docs 1"), F.col("query_id").cast("string"), F.lit(" img-4.png md")).alias("query"))
 
 
-@query(f"WITH {FILES}, {TITLED}, n AS (SELECT query_id, file_id, t, {OWN} AS own FROM named, (SELECT query_id, unnest(terms) AS t FROM ({NAME_TERMS})))\nSELECT query_id, file_id, count(*) AS matched FROM n WHERE {HAS} GROUP BY ALL")
+@query(f"WITH {FILES}, {TITLED}, {NAME_QUERIES}, {NAMED}\nSELECT query_id, file_id, count(*) AS matched FROM n WHERE {HAS} GROUP BY ALL")
 def name_match(spark, sf_dir):
-    found = names.search(b.files(spark, sf_dir), b.documents(spark, sf_dir), name_queries(spark), limit=1 << 30)
+    found = names.search(b.files(spark, sf_dir), b.documents(spark, sf_dir), name_queries(spark, sf_dir), limit=1 << 30)
     return found.select("query_id", "file_id", F.size("matched_terms").cast("long").alias("matched"))
 
 
-@query(f"""WITH {FILES}, {TITLED}, n AS (SELECT query_id, file_id, t, {OWN} AS own FROM named, (SELECT query_id, unnest(terms) AS t FROM ({NAME_TERMS}))),
-ok AS (SELECT DISTINCT query_id, file_id FROM named, (SELECT query_id, unnest(terms) AS t FROM ({NAME_TERMS})) WHERE contains(translate(filename || ' ' || coalesce(title, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {STEM}))
+@query(f"""WITH {FILES}, {TITLED}, {NAME_QUERIES}, {NAMED},
+ok AS (SELECT DISTINCT query_id, file_id FROM named, (SELECT query_id, term AS t FROM terms) WHERE contains(translate(filename || ' ' || coalesce(title, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {STEM}))
 SELECT query_id, file_id, count(*) AS matched FROM n JOIN ok USING (query_id, file_id) WHERE {HAS} GROUP BY ALL""")
 def name_prefilter_strict(spark, sf_dir):
-    found = names.search(b.files(spark, sf_dir), b.documents(spark, sf_dir), name_queries(spark), strict_prefilter=True, limit=1 << 30)
+    found = names.search(b.files(spark, sf_dir), b.documents(spark, sf_dir), name_queries(spark, sf_dir), strict_prefilter=True, limit=1 << 30)
     return found.select("query_id", "file_id", F.size("matched_terms").cast("long").alias("matched"))
 
 
@@ -180,10 +186,10 @@ def location_counts(spark, sf_dir):
     return listing.location_counts(ids.withColumn("path", F.concat(F.lit("/src"), F.col("id").cast("string"), F.lit("/"))), files).drop("path")
 
 
-@query(f"WITH {FILES} SELECT 'locations' AS name, count(DISTINCT location_id) AS rows FROM files UNION ALL SELECT 'files', count(*) FROM files UNION ALL SELECT 'documents', count(*) FROM files WHERE kind <> 'image' UNION ALL SELECT 'embeddings', count(*) FROM embeddings")
+@query(f"WITH {FILES} SELECT 'locations' AS name, count(DISTINCT location_id) AS rows FROM files UNION ALL SELECT 'files', count(*) FROM files UNION ALL SELECT 'documents', count(*) FROM files WHERE kind <> 'image' UNION ALL SELECT 'chunks', count(*) FROM conversations UNION ALL SELECT 'embeddings', count(*) FROM embeddings")
 def row_counts(spark, sf_dir):
     files = b.files(spark, sf_dir)
-    return listing.row_counts(locations=files.select("location_id").distinct(), files=files, documents=b.documents(spark, sf_dir), embeddings=b.table(spark, sf_dir, "embeddings"))
+    return listing.row_counts(locations=files.select("location_id").distinct(), files=files, documents=b.documents(spark, sf_dir), chunks=b.pages(spark, sf_dir), embeddings=b.table(spark, sf_dir, "embeddings"))
 
 
 @query(f"WITH {FILES} SELECT file_id, path FROM files WHERE status = 'pending'")
@@ -237,7 +243,7 @@ def pair_queries(vecs: DataFrame) -> DataFrame:
     return both.select(F.col("vec_id").alias("query_id"), vectors.normalized(total).alias("vector"))
 
 
-PAIRS = """pq AS (SELECT a.vec_id AS query_id, list_transform(list_zip(a.embedding, c.embedding), lambda z: CAST(z[1] AS DOUBLE) + CAST(z[2] AS DOUBLE)) AS s FROM embeddings a JOIN embeddings c ON c.vec_id = a.vec_id + 1 WHERE a.vec_id % 100 = 0),
+PAIRS = """pq AS (SELECT a.vec_id AS query_id, list_transform(list_zip(a.embedding, coalesce(c.embedding, a.embedding)), lambda z: CAST(z[1] AS DOUBLE) + CAST(z[2] AS DOUBLE)) AS s FROM embeddings a LEFT JOIN embeddings c ON c.vec_id = a.vec_id + 1 WHERE a.vec_id % 100 = 0),
 qv AS (SELECT query_id, list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) AS v FROM pq),
 sims AS (SELECT query_id, vec_id AS chunk_id, list_dot_product(CAST(embedding AS DOUBLE[]), v) AS sim FROM qv, embeddings),
 knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, chunk_id) AS rank FROM sims)"""
@@ -245,9 +251,7 @@ knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6
 
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = b.table(spark, sf_dir, "embeddings")
-    rows = semantic.similarities(vecs.select(F.col("vec_id").alias("chunk_id"), "embedding"), pair_queries(vecs))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 6)), "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= semantic.CANDIDATES)
+    return semantic.nearest(vecs.select(F.col("vec_id").alias("chunk_id"), "embedding"), pair_queries(vecs), digits=6)
 
 
 @query(f"WITH {PAIRS} SELECT query_id, chunk_id, round(sim, 6) AS similarity, rank FROM knn WHERE rank <= 200")
@@ -313,10 +317,10 @@ def match_reasons(spark, sf_dir):
     return signals(spark, sf_dir).select("doc_id", F.array_join(text.match_reasons(F.col("s"), k, m, typed), "; ").alias("reasons"))
 
 
-HYBRID = f"""WITH {FILES}, {READ}, {SINGLE}, {BM25}, {TITLED},
+HYBRID = f"""WITH {FILES}, {READ}, {TERMS}, {BM25}, {TITLED},
 kw AS (SELECT query_id, chunk_id AS file_id, matched / CAST((SELECT count(*) FROM terms t WHERE t.query_id = sc.query_id) AS DOUBLE) AS k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, chunk_id) AS c FROM sc) sc WHERE c <= 200),
-nm AS (SELECT query_id, file_id, count(*) AS m FROM (SELECT query_id, file_id, term AS t, {OWN} AS own FROM named, all_terms) WHERE {HAS} GROUP BY ALL),
-nc AS (SELECT query_id, file_id, m / CAST((SELECT count(*) FROM all_terms t WHERE t.query_id = nm.query_id) AS DOUBLE) AS m FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file_id) AS c FROM nm) nm WHERE c <= 200),
+nm AS (SELECT query_id, file_id, count(*) AS m FROM (SELECT query_id, file_id, term AS t, {OWN} AS own FROM named, terms) WHERE {HAS} GROUP BY ALL),
+nc AS (SELECT query_id, file_id, m / CAST((SELECT count(*) FROM terms t WHERE t.query_id = nm.query_id) AS DOUBLE) AS m FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file_id) AS c FROM nm) nm WHERE c <= 200),
 f AS (SELECT query_id, file_id, k, m, CAST(0.5 AS DOUBLE) * coalesce(k, CAST(0 AS DOUBLE)) + CAST(0.5 AS DOUBLE) * coalesce(m, CAST(0 AS DOUBLE)) AS relevance FROM kw FULL JOIN nc USING (query_id, file_id)),
 r AS (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, m IS NOT NULL DESC, string_split(path, '/')) AS rank FROM f JOIN files USING (file_id))
 SELECT query_id, file_id, round(relevance, 6) AS relevance, rank FROM r WHERE rank <= 20"""
@@ -325,9 +329,8 @@ SELECT query_id, file_id, round(relevance, 6) AS relevance, rank FROM r WHERE ra
 @query(HYBRID)
 def hybrid_unstemmed(spark, sf_dir):
     files, documents, asked = b.files(spark, sf_dir), b.documents(spark, sf_dir), b.queries(spark, sf_dir)
-    terms = single_terms(spark, sf_dir)
-    counts = terms.groupBy("query_id").agg(F.count("*").cast("int").alias("query_term_count"))
-    hits = keyword.top_candidates(scored(spark, sf_dir, b.passages(spark, sf_dir))).withColumnRenamed("chunk_id", "file_id").join(files.select("file_id", "path", "kind"), "file_id").join(counts, "query_id")
+    terms = typed_terms(spark, sf_dir)
+    hits = keyword.with_matched(keyword.top_candidates(scored(spark, sf_dir, b.passages(spark, sf_dir))), terms).withColumnRenamed("chunk_id", "file_id").join(files.select("file_id", "path", "kind"), "file_id")
     hits = hits.select("query_id", "file_id", "path", "kind", F.col("file_id").alias("chunk_id"), F.lit(None).cast("int").alias("page_number"), F.col("matched").alias("matched_terms"), "query_term_count")
     nothing = hits.where("false").select("query_id", "file_id", "path", "kind", "chunk_id", "page_number", F.lit("").alias("text"), F.lit(0.0).alias("score"))
     found = hybrid.fuse(nothing, hits, names.search(files, documents, asked), asked, with_model=False, limit=20)

@@ -104,4 +104,4 @@ def fingerprint(content: Column) -> Column:
 
 
 def read_error(content: Column) -> Column:
-    return F.when(content.isNull(), F.lit("This file couldn't be read."))
+    return F.when(content.isNull(), F.lit("The file would not open."))

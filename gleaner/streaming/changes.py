@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,11 +18,22 @@ def relevant(events: DataFrame) -> DataFrame:
     return events.where(F.coalesce(F.col("event_kind") != "access", F.lit(True)))
 
 
-def sessions(events: DataFrame, gap: str = QUIET, ts_col: str = "ts") -> DataFrame:
-    """(start, last, changes): bursts of a batch of events, over all locations; events exactly a gap apart are one burst.
-
-    Session windows merge partial sessions before the shuffle."""
-    return events.groupBy(F.session_window(ts_col, gap).alias("w")).agg(F.min(ts_col).alias("start"), F.max(ts_col).alias("last"), F.count("*").alias("changes")).drop("w")
+def sessions(events: DataFrame, gap: str = QUIET, ts_col: str = "ts", span: int = 3600) -> DataFrame:
+    """(start, last, changes): bursts of a batch of events, over all locations; events at most a gap apart are one burst.
+
+    Each ``span`` seconds of time find their own bursts, so the events are spread over tasks. Only bursts that begin or end within a
+    gap of a span's border, two a span at most, may go on in the next: those alone are stitched in order."""
+    micros = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    timed = events.where(F.col(ts_col).isNotNull()).select(F.col(ts_col).alias("ts"), F.floor(micros / (span * 1_000_000)).alias("span"))
+    own = timed.groupBy("span", F.session_window("ts", gap)).agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count("*").alias("changes"))
+    quiet, border = F.expr(f"INTERVAL {gap}"), lambda k: F.timestamp_micros(k * (span * 1_000_000))
+    inner = (F.col("start") > border(F.col("span")) + quiet) & (F.col("last") < border(F.col("span") + 1) - quiet)
+    own = own.select("start", "last", "changes", inner.alias("inner"))
+    order = Window.orderBy("start")
+    edge = own.where("NOT inner").withColumn("new", F.coalesce((F.col("start") > F.lag("last").over(order) + quiet).cast("int"), F.lit(1)))
+    edge = edge.withColumn("burst", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    stitched = edge.groupBy("burst").agg(F.min("start").alias("start"), F.max("last").alias("last"), F.sum("changes").alias("changes")).drop("burst")
+    return own.where("inner").select("start", "last", "changes").unionByName(stitched)
 
 
 def stream_sessions(events: DataFrame, gap: str = QUIET, late: str = "10 seconds", ts_col: str = "ts", key_col: str = "location") -> DataFrame:

@@ -29,10 +29,10 @@ def write(path, data):
 @pytest.fixture
 def folder(tmp_path):
     root = tmp_path / "docs"
-    write(root / "budget.txt", "The estimated project budget is NGN 2,500,000 for the garden.")
-    write(root / "lease.md", "# Tenancy\nGive sixty days notice before moving out of the flat.")
-    write(root / "photo.png", b"not an image")
-    write(root / "sub" / "plan.docx", docx("<w:p><w:r><w:t>Garden &amp; water</w:t><w:tab/><w:t>tank</w:t></w:r></w:p>", "<dc:title>Water plan</dc:title>"))
+    write(root / "quote.txt", "Repairs to the harbour crane: a quote of EUR 14,250 came in, crane parts extra.")
+    write(root / "choir.md", "# Choir\nRehearsals move to the chapel while the hall is painted.")
+    write(root / "deck.png", b"not an image")
+    write(root / "sub" / "ferry.docx", docx("<w:p><w:r><w:t>Ferry &amp; tides</w:t><w:tab/><w:t>table</w:t></w:r></w:p>", "<dc:title>Ferry times</dc:title>"))
     for skipped in (".git/a.txt", "node_modules/b.txt", "~$draft.docx", ".secret.txt", "song.mp3"):
         write(root / skipped, "x")
     return root
@@ -40,10 +40,10 @@ def folder(tmp_path):
 
 def test_discover_skips_hidden_and_system(spark, folder):
     found, unreadable = files.discover(spark, str(folder))
-    assert sorted(os.path.relpath(r.path, folder) for r in found.collect()) == ["budget.txt", "lease.md", "photo.png", "sub/plan.docx"]
+    assert sorted(os.path.relpath(r.path, folder) for r in found.collect()) == ["choir.md", "deck.png", "quote.txt", "sub/ferry.docx"]
     assert unreadable == 0
     remote = files.discover_remote(spark, f"file://{folder}")
-    assert sorted(r.path.split("/docs/")[1] for r in remote.collect()) == ["budget.txt", "lease.md", "photo.png", "sub/plan.docx"]
+    assert sorted(r.path.split("/docs/")[1] for r in remote.collect()) == ["choir.md", "deck.png", "quote.txt", "sub/ferry.docx"]
     with pytest.raises(files.Cancelled):
         files.discover(spark, str(folder), lambda: True)
 
@@ -81,31 +81,31 @@ def test_incremental_indexing_and_search(spark, folder, tmp_path):
     assert e.value.code == "inside_existing"
     got = library.rescan_location(place)
     assert (got["found"], got["added"], got["read"], got["read_failed"], got["embedded"]) == (4, 4, 3, 0, 3)
-    rows = library.search("garden budget").collect()
-    assert rows[0].filename == "budget.txt" and rows[0].page_number is None
-    assert [p.text for p in rows[0].snippet if p.highlight] == ["budget", "garden"]
-    assert "Mentions “garden”, “budget”" in rows[0].match_reasons and "File name or title matches “budget”" in rows[0].match_reasons
-    assert [r.filename for r in library.search("NGN 2,500,000").collect()][0] == "budget.txt"
-    assert [r.filename for r in library.search("photo").collect()] == ["photo.png"]
+    rows = library.search("crane quote").collect()
+    assert rows[0].filename == "quote.txt" and rows[0].page_number is None
+    assert [p.text for p in rows[0].snippet if p.highlight] == ["crane", "quote", "crane"]
+    assert "Mentions “crane”, “quote”" in rows[0].match_reasons and "File name or title matches “quote”" in rows[0].match_reasons
+    assert [r.filename for r in library.search("EUR 14,250").collect()][0] == "quote.txt"
+    assert [r.filename for r in library.search("deck").collect()] == ["deck.png"]
     seen = library.get_evidence(rows[0].chunk_id)
-    assert seen.before + seen.passage + seen.after == "The estimated project budget is NGN 2,500,000 for the garden."
+    assert seen.before + seen.passage + seen.after == "Repairs to the harbour crane: a quote of EUR 14,250 came in, crane parts extra."
     assert library.get_evidence("x") is None
     page, total = library.list_files(kind="docx")
     assert total == 1 and page.first().status == "indexed"
     document = library.get_document(page.first().file_id)
-    assert (document.title, document.pages[0].text) == ("Water plan", "Garden & water\ttank")
+    assert (document.title, document.pages[0].text) == ("Ferry times", "Ferry & tides\ttable")
     # Nothing changed: nothing is read.
     got = library.rescan_location(place)
     assert (got["added"], got["checked"], got["removed"], got["read"]) == (0, 0, 0, 0)
     # An edit, a touch, a deletion and a new file.
-    write(folder / "budget.txt", "Nothing about money.")
-    os.utime(folder / "lease.md", (time.time() + 9, time.time() + 9))
-    os.remove(folder / "sub" / "plan.docx")
-    write(folder / "new.txt", "A rainwater tank for the garden.")
+    write(folder / "quote.txt", "Cancelled; the old crane stays.")
+    os.utime(folder / "choir.md", (time.time() + 9, time.time() + 9))
+    os.remove(folder / "sub" / "ferry.docx")
+    write(folder / "new.txt", "Mooring ropes are kept in the boathouse.")
     got = library.rescan_location(place)
     assert (got["added"], got["checked"], got["removed"], got["read"]) == (1, 2, 1, 2)
-    assert [r.filename for r in library.search("rainwater tank").collect()] == ["new.txt"]
-    assert "budget.txt" in [r.filename for r in library.search("money").collect()]
+    assert [r.filename for r in library.search("mooring ropes").collect()] == ["new.txt"]
+    assert "quote.txt" in [r.filename for r in library.search("cancelled").collect()]
     report = library.index_report()
     assert (report["files"], report["documents"], report["chunks"], report["embeddings"]) == (4, 3, 3, 3)
     assert library.ai_status()["ocr"]["available"] is False and library.ai_status()["missing_embeddings"] == 0
