@@ -154,7 +154,7 @@ class Model:
         return named, scores
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def model_of(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
     return Model({lang: list(texts) for lang, texts in samples})
 
