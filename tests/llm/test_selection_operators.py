@@ -137,8 +137,7 @@ def test_spotsigs_compares_edited_and_next_texts(spark):
         r, a, b, c = got[i], plain_set(t), plain_set(edited), plain_set(following)
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         for value, other in ((r.near_edited, b), (r.near_next, c)):
-            bound = min(len(a), len(other)) / max(len(a), len(other))
-            assert abs(value - (len(a & other) / len(a | other) if bound >= 0.05 else 0)) < 1e-12
+            assert abs(value - len(a & other) / len(a | other)) < 1e-12
         assert prints.setdefault(frozenset(a), r.fingerprint) == r.fingerprint
     assert len(set(prints.values())) == len(prints)
     one = spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")
