@@ -8,7 +8,8 @@ pair of neighbours is, so the state of a shared prefix is computed once, whateve
 words below it, and a word's ids are read back along its last tokens.
 
 Nulls: a null text counts as empty (no ids). Very long texts and words of any length are walked
-iteratively; nothing is cut. Repeated rows give repeated results; extra columns are not read.
+iteratively; nothing is cut. Repeated rows give repeated results, a null id is returned as it is, and
+an empty table gives an empty result; extra columns are not read.
 The map has no shuffle, and its memory is bounded by one Arrow batch, the word table
 (``MAX_WORDS``) and the vocabulary.
 """

@@ -16,7 +16,7 @@ Training rows: ``docs_per_language`` rows of each label with the smallest hash o
 up to ``chars_per_doc`` code points from the middle of the text: a bounded sample, which alone goes
 to the driver. Nulls: a null text or one without a letter is ``und`` with score 0; rows with a null
 label or id are never learned from. Without any label every text is ``und``. Equal texts get equal
-results; extra columns are not read.
+results, repeated rows repeated ones, and an empty table an empty one; extra columns are not read.
 """
 
 from __future__ import annotations

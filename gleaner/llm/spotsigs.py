@@ -11,7 +11,8 @@ threshold out is pruned before any element is looked at.
 
 The fingerprint column is a digest of the sorted set with its length, equal exactly if the sets are (up
 to hash collisions), so equal texts have equal fingerprints. Nulls: a null text is an empty one, and its one signature is
-that of no words. Whole texts are used; repeated rows repeat; extra columns are not read.
+that of no words. Whole texts are used; repeated rows repeat; an empty table
+gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations

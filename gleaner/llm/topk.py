@@ -14,7 +14,7 @@ prove sums below 2**24.
 Nulls: a vector that is null, or holds a null or a non-finite component, and one with a null id, take
 no part. Components that a shorter vector lacks count as 0. A candidate is left out of the search of
 its own id; rows that repeat an id are all left out, and count each as a candidate elsewhere. Fewer
-candidates than k: all. Extra columns are not read.
+candidates than k: all. An empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
