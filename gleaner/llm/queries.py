@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, kneser_ney, langid, mixing, records, simhash, spotsigs, topk, warc
+from . import bpe, chat, filter_audit, kneser_ney, langid, mixing, records, repair, simhash, spotsigs, topk, warc
 from .common import table
 
 
@@ -62,6 +62,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "shards")
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: Language-ID, cross-parsing and file round trips have no SQL; neither have XXH64, tokenizers or seeded draws.
 TOP_K_SQL = """
 WITH v AS (
@@ -77,6 +85,37 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+FILTER_AUDIT_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), d AS (
+  SELECT part,
+    CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+    + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text) AS INTEGER)
+    + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS INTEGER) AS mask,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM t
+), c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM d GROUP BY part, mask
+), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f), o AS (
+  SELECT p AS filter_order FROM (SELECT a.f || b.f || c.f || d.f || e.f AS p FROM l a, l b, l c, l d, l e) WHERE len(list_distinct(string_split(p, ''))) = 5
+), s AS (
+  SELECT filter_order, step, CAST(1 << (ascii(filter_order[step]) - 65) AS INTEGER) AS own,
+    CAST(list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(filter_order[k]) - 65))) AS INTEGER) AS prior FROM o, (SELECT unnest(range(1, 6)) AS step)
+), r AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, own,
+    sum(CASE WHEN mask & (coalesce(prior, 0) | own) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & coalesce(prior, 0) = 0 AND mask & own <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & coalesce(prior, 0) <> 0 AND mask & own <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & coalesce(prior, 0) = 0 AND mask & own <> 0 THEN g ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & coalesce(prior, 0) = 0 AND mask & own <> 0 THEN x ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -90,8 +129,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_spotsigs": op9_spotsigs,
         "op10_mixing": op10_mixing,
+        "op12_repair": op12_repair,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": TOP_K_SQL}
+    return {"op5_exact_top_k": TOP_K_SQL, "op13_filter_audit": FILTER_AUDIT_SQL}
