@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, filter_audit, kneser_ney, langid, mixing, records, repair, simhash, spotsigs, topk, warc
+from . import bpe, chat, filter_audit, kneser_ney, langid, mixing, records, repair, simhash, spotsigs, topk, toxicity, warc
 from .common import table
 
 
@@ -62,6 +62,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "shards")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.classify(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"), folds=4, held=2))
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "passages", "evidence")
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
 
@@ -129,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_spotsigs": op9_spotsigs,
         "op10_mixing": op10_mixing,
+        "op11_toxicity": op11_toxicity,
         "op12_repair": op12_repair,
         "op13_filter_audit": op13_filter_audit,
     }
