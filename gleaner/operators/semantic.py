@@ -112,9 +112,14 @@ def missing(chunks: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:
     return chunks.join(embeddings.where(F.col("model") == model).select("chunk_id"), "chunk_id", "left_anti")
 
 
+def embedded(chunks: DataFrame, embedder: vectors.Embedder) -> DataFrame:
+    """(chunk_id, model, dimensions, embedding) of the passages; a vector of another length fails the job."""
+    new = chunks.select("chunk_id", F.lit(embedder.model).alias("model"), F.lit(embedder.dimensions).alias("dimensions"), embedder.embed(F.col("text")).cast("array<float>").alias("embedding"))
+    sound = F.when(F.size("embedding") == F.col("dimensions"), F.col("embedding")).otherwise(F.raise_error(F.lit("the embedder returned a vector of another length")))
+    return new.withColumn("embedding", sound)
+
+
 def embed_missing(chunks: DataFrame, embeddings: DataFrame, embedder: vectors.Embedder) -> DataFrame:
     """The table of vectors after embedding what lacks one: one vector a passage, whatever model it had before."""
-    new = missing(chunks, embeddings, embedder.model).select("chunk_id", F.lit(embedder.model).alias("model"), F.lit(embedder.dimensions).alias("dimensions"), embedder.embed(F.col("text")).cast("array<float>").alias("embedding"))
-    sound = F.when(F.size("embedding") == F.col("dimensions"), F.col("embedding")).otherwise(F.raise_error(F.lit("the embedder returned a vector of another length")))
-    new = new.withColumn("embedding", sound)
+    new = embedded(missing(chunks, embeddings, embedder.model), embedder)
     return embeddings.where(F.col("model") == embedder.model).join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "model", "dimensions", "embedding").unionByName(new)

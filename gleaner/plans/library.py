@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import os
 import time
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import chunking, snippets, text, vectors
 from gleaner.operators import evidence, hybrid, incremental, keyword, listing, names, semantic
 from gleaner.sources import files as folders
 from gleaner.sources import readers as reading
-from gleaner.sources.store import Store
+from gleaner.sources.store import CONTENT, Store
+from gleaner.streaming.scans import Scan, Scans, Status
 
 VERSION = "0.1.0"
 
@@ -29,7 +31,7 @@ class LibraryError(Exception):
 class Library:
     def __init__(self, spark: SparkSession, path: str, embedder: vectors.Embedder | None = None, readers: dict | None = None):
         self.spark, self.store = spark, Store(spark, path)
-        self.embedder, self.readers = embedder, dict(reading.READERS if readers is None else readers)
+        self.embedder, self.readers, self.scans = embedder, dict(reading.READERS if readers is None else readers), Scans(spark)
 
     def _id(self, value) -> int | None:
         try:
@@ -56,10 +58,12 @@ class Library:
             raise LibraryError(plan.verdict, f"{path} is already in the library")
         new_id = (own.agg(F.max("id")).first()[0] or 0) + 1
         added = self.spark.createDataFrame([(new_id, real, int(time.time() * 1000))], own.schema)
-        kept = own.where(~F.col("id").isin(list(plan.ids))) if plan.ids else own
+        for old in plan.ids or ():
+            self.scans.forget(old)
         # Files of locations taken in move to the new one; they are not read again.
-        moved = self.store.read("files", base).withColumn("location_id", F.when(F.col("location_id").isin(list(plan.ids)), F.lit(new_id)).otherwise(F.col("location_id"))) if plan.ids else None
-        self.store.commit(base, locations=kept.unionByName(added), **({"files": moved} if moved is not None else {}))
+        moved = self.store.read("files", base).where(F.col("location_id").isin(list(plan.ids or ()))).withColumn("location_id", F.lit(new_id).cast("long"))
+        taken_in = self.spark.createDataFrame([(i,) for i in plan.ids or ()], "id long")
+        self.store.commit(base, {"locations": added, "files": moved}, [(("locations",), taken_in), (("files",), moved.select("file_id"))])
         return new_id
 
     def remove_location(self, location_id) -> None:
@@ -67,60 +71,127 @@ class Library:
         own = self.store.read("locations", base)
         if own.where(F.col("id") == self._id(location_id)).isEmpty():
             raise LibraryError("location_not_found", "no such location")
-        self._commit_files(base, self.store.read("files", base).where(F.col("location_id") != self._id(location_id)), locations=own.where(F.col("id") != self._id(location_id)))
-
-    def _commit_files(self, base: int, files: DataFrame, documents: DataFrame | None = None, chunks: DataFrame | None = None, **more: DataFrame) -> int:
-        """Commits the files and what is left of everything below them."""
-        read = lambda t: self.store.read(t, base)
-        documents = incremental.cascade(files, read("documents") if documents is None else documents, "file_id", "file_id")
-        chunks = incremental.cascade(documents, read("chunks") if chunks is None else chunks, "document_id", "document_id")
-        below = {t: incremental.cascade(chunks, more.pop(t, read(t)), "chunk_id", "chunk_id") for t in ("embeddings", "postings", "chunk_stats")}
-        return self.store.commit(base, files=files, documents=documents, chunks=chunks, **below, **more)
-
-    def rescan_location(self, location_id, cancelled: Callable[[], bool] = lambda: False) -> dict:
-        """Walk, fingerprint, forget, read and embed what changed; one new version. Returns the run's counts."""
-        base = self.store.manifest()["version"]
-        place = self.store.read("locations", base).where(F.col("id") == self._id(location_id)).first()
+        self.scans.forget(self._id(location_id))
+        gone = self.store.read("files", base).where(F.col("location_id") == self._id(location_id)).select("file_id")
+        self.store.commit(base, {}, [(("locations",), own.where(F.col("id") == self._id(location_id)).select("id")), (("files", *CONTENT), gone)])
+
+    def rescan_location(self, location_id, cancelled: Callable[[], bool] = lambda: False, report: Callable[[Status], None] | None = None) -> dict:
+        """Walk, fingerprint, forget, read and embed what changed; one new version, or none if nothing did. Returns the
+        run's counts. A scan of the same location that still runs is cancelled; ``report`` is told how far this one is."""
+        place = self.store.read("locations").where(F.col("id") == self._id(location_id)).first()
         if place is None:
             raise LibraryError("location_not_found", "no such location")
+        with self.scans.begin(place.id, report) as scan:
+            work = f"{self.store.path}/work/{uuid.uuid4().hex}"
+            try:
+                counts = self._rescan(scan, place, lambda: scan.stopped or cancelled(), work)
+            finally:
+                self.store.fs.delete(self.store._path(work), True)
+            scan.say(state="done", important=True)
+            return counts
+
+    def catch_up(self, report: Callable[[Status], None] | None = None) -> dict[int, dict]:
+        """Scans every location, as at the start of a program; one that is gone or fails does not keep the others."""
+        found = {}
+        for row in self.store.read("locations").orderBy("id").collect():
+            try:
+                found[row.id] = self.rescan_location(row.id, report=report)
+            except folders.Cancelled:
+                found[row.id] = {"cancelled": True}
+            except Exception as e:  # noqa: BLE001  reported by the scan's status
+                found[row.id] = {"error": str(e).split("\n")[0]}
+        return found
+
+    def _rescan(self, scan: Scan, place, cancelled: Callable[[], bool], work: str) -> dict:
+        def stop_if_cancelled() -> None:
+            if cancelled():
+                raise folders.Cancelled
+            scan.check()
+
+        def written(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{work}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+        scan.say(important=True)
+        base, now = self.store.manifest()["version"], int(time.time() * 1000)
         seen, unreadable = folders.discover(self.spark, place.path, cancelled)
-        now = int(time.time() * 1000)
-        files = self.store.read("files", base)
-        here, elsewhere = files.where(F.col("location_id") == place.id), files.where(F.col("location_id") != place.id)
-        changes = incremental.classify(seen, here).cache()
+        old = lambda t, **k: self.store.read(t, base, **k)
+        here = old("files").where(F.col("location_id") == place.id)
+        changes = written(incremental.classify(seen, here), "changes")
         metrics = incremental.scan_metrics(changes).first().asDict() | {"unreadable": unreadable}
-        if cancelled():
-            raise folders.Cancelled
-        # Content is read once, and only of files that are new or look changed.
+        found = metrics["found"]
+        scan.say(state="hashing", files_found=found, files_processed=metrics["unchanged"], files_changed=found - metrics["unchanged"], unreadable=unreadable)
+        stop_if_cancelled()
+        # Files that are new or look changed are read once; so are those that still wait for it, as for a reader that came since.
         touched = seen.join(changes.where("change IN ('new', 'check')").select("path"), "path", "left_semi")
-        checked = folders.with_content(touched).select(
+        known = here.select("path", F.col("content_hash").alias("known_hash"), F.coalesce(F.col("status") != "indexed", F.lit(True)).alias("force"))
+        due = touched.select("path", "kind").join(known, "path", "left").withColumn("force", F.coalesce("force", F.lit(True)))
+        waiting = listing.pending(here, include_images="image" in self.readers).join(changes.where("change = 'unchanged'").select("path"), "path", "left_semi")
+        due = written(due.unionByName(waiting.select("path", "kind", F.col("content_hash").alias("known_hash"), F.lit(True).alias("force"))), "due")
+        to_read = due.count()
+        gone = here.join(changes.where("change = 'deleted'").select("path"), "path", "left_semi").select("file_id")
+        seen_by = Observation("read")
+        done = reading.examined(due.repartition(max(1, min(4096, to_read // 16 + 1))), self.readers)
+        done = done.observe(seen_by, F.count_if(F.col("was_read")).alias("reads"), F.count_if(F.col("was_read") & F.col("read_problem").isNotNull()).alias("read_failed"), F.count_if(F.col("problem").isNotNull()).alias("failed"))
+        scan.say(state="reading", files_processed=found, files_to_read=to_read)
+        with scan.following(files_read=to_read):
+            done = written(done, "done")
+        told = seen_by.get
+        counts = {"read": told["reads"] - told["read_failed"], "read_failed": told["read_failed"]}
+        scan.say(files_read=to_read, read_failed=told["read_failed"], files_failed=told["failed"])
+        stop_if_cancelled()
+        checked = touched.join(done.select("path", "content_hash", "problem"), "path").select(
             "path", F.lit(place.id).cast("long").alias("location_id"), text.file_name(F.col("path")).alias("filename"), text.extension(F.col("path")).alias("extension"), "kind", text.mime_type(text.extension(F.col("path"))).alias("mime_type"),
-            "size_bytes", "created_at", "modified_at", F.lit(now).alias("scanned_at"), folders.fingerprint(F.col("content")).alias("content_hash"), folders.read_error(F.col("content")).alias("error"),
+            "size_bytes", "created_at", "modified_at", F.lit(now).alias("scanned_at"), "content_hash", reading.user_message(F.col("problem"), F.col("kind")).alias("error"),
         )
-        kept = incremental.upsert(here.join(changes.where("change = 'deleted'").select("path"), "path", "left_anti"), checked).cache()
-        pending = listing.pending(kept, include_images="image" in self.readers).select("file_id", "path", "kind", "size_bytes")
-        done = reading.with_documents(folders.with_content(pending), self.readers).cache()
-        read = done.where("read_error IS NULL")
-        counts = done.agg(F.count_if(F.col("read_error").isNull()).alias("read"), F.count_if(F.col("read_error").isNotNull()).alias("read_failed")).first().asDict()
-        state = kept.join(done.select("file_id", "read_error", F.lit(True).alias("was")), "file_id", "left")
-        status = F.when(F.col("was") & F.col("read_error").isNull(), "indexed").when(F.col("was"), "error").otherwise(F.col("status"))
-        state = state.withColumn("status", status).withColumn("indexed_at", F.when(F.col("was"), F.when(F.col("read_error").isNull(), F.lit(now))).otherwise(F.col("indexed_at"))).withColumn("error", F.when(F.col("was"), F.col("read_error")).otherwise(F.col("error"))).drop("was", "read_error")
-        new_documents = read.select(F.col("file_id").alias("document_id"), "file_id", "title", "author", F.lit(None).cast("string").alias("language"), "page_count", "word_count", chunking.full_text(F.col("pages")).alias("extracted_text"))
-        made = chunking.chunks_of(read.select(F.col("file_id").alias("document_id"), "pages")).withColumn("chunk_id", F.shiftrightunsigned(F.xxhash64("document_id", "chunk_index", F.lit(now)), 1)).withColumn("token_count", F.lit(None).cast("int")).cache()
-        gone = done.select(F.col("file_id").alias("document_id"))
-        old = lambda t: self.store.read(t, base)
-        documents = incremental.replaced(old("documents"), new_documents, "document_id", gone)
-        chunks = incremental.replaced(old("chunks"), made, "document_id", gone)
-        more = {"postings": old("postings").unionByName(keyword.postings(made)), "chunk_stats": old("chunk_stats").unionByName(keyword.chunk_stats(made))}
+        state = incremental.upsert(here.join(due.select("path"), "path", "left_semi"), checked).join(done.select("path", "was_read", F.col("read_problem").alias("wrong")), "path")
+        state = state.withColumn("wrong", reading.user_message(F.col("wrong"), F.col("kind")))
+        outcome = lambda ok, bad, name: F.when(F.col("was_read"), F.when(F.col("wrong").isNull(), ok).otherwise(bad)).otherwise(F.col(name)).alias(name)
+        kept = [c for c in here.columns if c not in ("status", "indexed_at", "error")]
+        state = written(state.select(*kept, outcome(F.lit("indexed"), F.lit("error"), "status"), outcome(F.lit(now), F.lit(None), "indexed_at"), outcome(F.lit(None), F.col("wrong"), "error"), "was_read"), "state")
+        reread = state.where("was_read").select("file_id")
+        fresh = done.where("was_read AND read_problem IS NULL").join(state.select("path", "file_id"), "path")
+        documents = fresh.select(F.col("file_id").alias("document_id"), "file_id", "title", "author", F.lit(None).cast("string").alias("language"), "page_count", "word_count", chunking.full_text(F.col("pages")).alias("extracted_text"))
+        made = chunking.chunks_of(fresh.select(F.col("file_id").alias("document_id"), "pages"))
+        made = written(made.withColumn("chunk_id", F.shiftrightunsigned(F.xxhash64("document_id", "chunk_index", F.lit(now)), 1)).withColumn("token_count", F.lit(None).cast("int")), "made")
+        owner = made.select("chunk_id", F.col("document_id").alias("owner"))
+        left = reread.unionByName(gone)
+        add, remove = {}, []
+        if to_read:
+            add["files"] = state
+        if told["reads"]:
+            add |= {"documents": documents, "chunks": made, "postings": keyword.postings(made).join(owner, "chunk_id"), "chunk_stats": keyword.chunk_stats(made).join(owner, "chunk_id")}
+        if to_read or metrics["removed"]:
+            remove += [(("files",), state.select("file_id").unionByName(gone)), (CONTENT, left)]
         if self.embedder is not None and self.embedder.available()[0]:
-            lacking = semantic.missing(chunks, old("embeddings"), self.embedder.model)
-            counts["embedded"] = lacking.count()
-            more["embeddings"] = semantic.embed_missing(chunks, old("embeddings"), self.embedder)
-        self._commit_files(base, elsewhere.unionByName(state.select(elsewhere.columns)), documents, chunks, **more)
-        for df in (changes, kept, done, made):
-            df.unpersist()
+            vectors_add, redone, lacking = self._embeddings(old, made, left, written)
+            scan.say(state="embedding", passages_to_embed=lacking)
+            counts["embedded"] = lacking
+            if lacking:
+                add["embeddings"] = vectors_add
+                remove.append((("embeddings",), redone))
+            scan.say(passages_embedded=lacking)
+        stop_if_cancelled()
+
+        def alone(version: int) -> None:
+            stop_if_cancelled()
+            if self.store.read("locations", version).where(F.col("id") == place.id).isEmpty():
+                raise folders.Cancelled
+
+        self.store.commit(base, add, remove, alone)
         return metrics | counts
 
+    def _embeddings(self, old, made: DataFrame, left: DataFrame, written) -> tuple[DataFrame, DataFrame, int]:
+        """What a scan adds to the vectors, the owners whose older ones go, and how many passages are embedded: the new
+        ones, and those that have no vector of this model. One vector a passage, whatever model it had before."""
+        embedder = self.embedder
+        stays = old("chunks").join(left.select(F.col("file_id").alias("document_id")), "document_id", "left_anti")
+        lacking = written(semantic.missing(stays, old("embeddings"), embedder.model).select("chunk_id", "document_id", "text").unionByName(made.select("chunk_id", "document_id", "text")), "lacking")
+        redone = lacking.select(F.col("document_id").alias("owner")).distinct().join(made.select(F.col("document_id").alias("owner")), "owner", "left_anti")
+        still = old("embeddings", with_owner=True).where(F.col("model") == embedder.model).join(redone, "owner", "left_semi")
+        new = semantic.embedded(lacking, embedder).join(lacking.select("chunk_id", F.col("document_id").alias("owner")), "chunk_id")
+        return still.unionByName(new.select(still.columns)), redone, lacking.count()
+
     # --- search
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
@@ -148,8 +219,8 @@ class Library:
 
     def get_document(self, file_id):
         number = self._id(file_id)
-        documents = self.store.read("documents").where(F.col("file_id") == number)
-        chunks = self.store.read("chunks").join(documents.select("document_id"), "document_id", "left_semi")
+        own = [] if number is None else [number]
+        documents, chunks = self.store.read("documents", owners=own), self.store.read("chunks", owners=own)
         found = evidence.stored_documents(chunks, documents).first()
         if number is None or found is None:
             raise LibraryError("file_not_found", "no such document")
@@ -161,7 +232,8 @@ class Library:
 
     def file_path(self, file_id) -> str:
         """Where a file is, to open it."""
-        row = self.store.read("files").where(F.col("file_id") == self._id(file_id)).first()
+        number = self._id(file_id)
+        row = self.store.read("files", owners=[number]).first() if number is not None else None
         if row is None:
             raise LibraryError("file_not_found", "no such file")
         if not os.path.exists(row.path):

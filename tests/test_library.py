@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from gleaner.functions.vectors import HashEmbedder
 from gleaner.plans.library import Library, LibraryError
 from gleaner.sources import files, readers
-from gleaner.sources.store import ConflictError, Store
 
 
 def docx(body, core=None):
@@ -61,18 +60,6 @@ def test_readers():
     assert readers.extract(b"x", "pdf", 1, {"pdf": readers.pdf_reader(lambda _: ["a  \n\n\n\nb \n", " "])})[0] == [(1, "a\n\nb"), (2, "")]
 
 
-def test_store_versions_and_conflicts(spark, tmp_path):
-    store = Store(spark, f"{tmp_path}/store")
-    one = spark.createDataFrame([(1, "/a", 5)], "id long, path string, added_at long")
-    assert store.read("locations").count() == 0
-    assert store.commit(0, locations=one) == 1
-    with pytest.raises(ConflictError):
-        store.commit(0, locations=one)
-    store.commit(1, locations=one.unionByName(one.withColumn("id", F.lit(2).cast("long"))))
-    assert (store.read("locations", 1).count(), store.read("locations").count()) == (1, 2)
-    assert store.size() > 0
-
-
 def test_incremental_indexing_and_search(spark, folder, tmp_path):
     library = Library(spark, f"{tmp_path}/index", HashEmbedder())
     place = library.add_location(str(folder))
@@ -94,9 +81,11 @@ def test_incremental_indexing_and_search(spark, folder, tmp_path):
     assert total == 1 and page.first().status == "indexed"
     document = library.get_document(page.first().file_id)
     assert (document.title, document.pages[0].text) == ("Ferry times", "Ferry & tides\ttable")
-    # Nothing changed: nothing is read.
+    # Nothing changed: nothing is read, and nothing written.
+    before = sorted(str(p) for p in (tmp_path / "index").rglob("*"))
     got = library.rescan_location(place)
     assert (got["added"], got["checked"], got["removed"], got["read"]) == (0, 0, 0, 0)
+    assert sorted(str(p) for p in (tmp_path / "index").rglob("*")) == before
     # An edit, a touch, a deletion and a new file.
     write(folder / "quote.txt", "Cancelled; the old crane stays.")
     os.utime(folder / "choir.md", (time.time() + 9, time.time() + 9))
@@ -104,6 +93,16 @@ def test_incremental_indexing_and_search(spark, folder, tmp_path):
     write(folder / "new.txt", "Mooring ropes are kept in the boathouse.")
     got = library.rescan_location(place)
     assert (got["added"], got["checked"], got["removed"], got["read"]) == (1, 2, 1, 2)
+    # One changed file: one bucket a table.
+    write(folder / "new.txt", "Mooring ropes are kept in the boathouse now.")
+    version = library.store.manifest()["version"]
+    assert library.rescan_location(place)["read"] == 1
+    wrote = [e for t, x in library.store.manifest()["tables"].items() for e in x["segments"] + x["removed"] if e["version"] == version + 1]
+    assert len(wrote) >= 7 and len({b for e in wrote for b in e["buckets"]}) == 1
+    # Compacted and expired, it is the same library.
+    library.store.compact(segments=1)
+    library.store.expire(keep=1)
+    assert library.store.versions() == [version + 2]
     assert [r.filename for r in library.search("mooring ropes").collect()] == ["new.txt"]
     assert "quote.txt" in [r.filename for r in library.search("cancelled").collect()]
     report = library.index_report()
