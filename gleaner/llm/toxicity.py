@@ -12,8 +12,8 @@ sum p(s) exp(lambda s) = 1 over the word scores of clean text, K is fitted to th
 segment that chance makes at most ``expected`` times in such a text is a toxic passage. A document's evidence is the
 least chance of its r best segments together (their sum statistic), over all r; a logistic curve of it is the score.
 
-Training rows: of each label the ``per_class`` documents with the least hash of their id, a bounded sample; of these a
-quarter sets lambda, K and the curve and teaches no words. Word counts are made in Spark; the driver gets ``features``
+Training rows: of each label about ``per_class`` documents, those with the least hashes of their id, a bounded sample; of
+these a quarter sets lambda, K and the curve and teaches no words. Word counts are made in Spark; the driver gets ``features``
 weights and one row a calibrating document. The curve is fitted to the shares of labels in the whole table.
 
 Nulls: a null text is an empty one, without evidence, with the curve's lowest score; rows with a null id or label, and
@@ -33,7 +33,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, materialize
@@ -156,10 +156,11 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds
     named = docs.where(docs[text_col].isNotNull() & docs[id_col].isNotNull()).select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     told = materialize(told.join(named.select("id"), "id", "left_semi"), "labels")
     shares = {r.toxic: r["count"] for r in told.groupBy("toxic").count().collect()}
-    mixed = F.xxhash64(F.col("id").cast("string"))
-    first = Window.partitionBy("toxic").orderBy(mixed, "id")
-    chosen = told.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_class).select("id", "toxic", (F.pmod(F.shiftrightunsigned(mixed, 20), F.lit(4)) != 0).alias("teaches"))
-    # Two labels of ``per_class`` ids each, whatever the size of the tables.
+    # Of each label the rows whose hash lies below its share of all hashes: about ``per_class`` of them, found without a shuffle.
+    mixed = F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string")), 1)
+    below = [min(2**63 - 1, per_class * 2**63 // shares.get(y, 1)) for y in (0, 1)]
+    chosen = told.where(mixed <= F.when(F.col("toxic") == 1, below[1]).otherwise(below[0])).select("id", "toxic", (F.pmod(mixed, F.lit(4)) != 0).alias("teaches"))
+    # Two labels of about ``per_class`` ids each, whatever the size of the tables.
     texts = named.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max(F.struct("text", "toxic", "teaches")).alias("x"))
     # Of texts that share the least hash of their five-word shingles one counts: what copies repeat is not evidence.
     words = F.filter(F.split(F.lower("x.text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
