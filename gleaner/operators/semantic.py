@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,10 @@ from gleaner.functions import vectors
 CANDIDATES = 200
 
 
-#: Numbers of all queries together that are sent to every task; more go in blocks of tables.
-SENT = 1 << 23
+#: Numbers of the queries that are sent to every task at once; more go in several blocks.
+SENT = 1 << 22
+#: Similarities that a task holds at once.
+TILE = 1 << 22
 
 
 def of_model(embeddings: DataFrame, model: str | None, dimensions: int | None) -> DataFrame:
@@ -27,12 +30,6 @@ def of_model(embeddings: DataFrame, model: str | None, dimensions: int | None) -
     return stored
 
 
-def similarities(embeddings: DataFrame, queries: DataFrame, model: str | None = None, dimensions: int | None = None) -> DataFrame:
-    """(query_id, chunk_id, similarity) of every stored vector of the model and dimension with each query's vector."""
-    both = of_model(embeddings, model, dimensions).select("chunk_id", "embedding").join(queries.select("query_id", "vector"))
-    return both.select("query_id", "chunk_id", vectors.dot(F.col("embedding"), F.col("vector")).alias("similarity"))
-
-
 def matrix(lists: pa.ListArray, dim: int | None = None) -> np.ndarray:
     """Rows of doubles, of the longest's length (or ``dim``); what is missing or null is 0."""
     sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -49,25 +46,38 @@ def matrix(lists: pa.ListArray, dim: int | None = None) -> np.ndarray:
 
 
 def tile_top(stored: DataFrame, asked: tuple[np.ndarray, np.ndarray], limit: int, digits: int | None) -> DataFrame:
-    """(query_id, chunk_id, similarity): the best of each task, ``limit`` a query. A batch of stored vectors times all
-    queries is one matrix product; a task holds one such tile and its best so far."""
+    """(query_id, chunk_id, similarity): the best of each task, ``limit`` a query. Stored vectors times queries is a matrix
+    product, a tile of at most ``TILE`` similarities (or one row of them) at a time; what is not a finite number is no
+    similarity. Of a tile only those stay that reach the query's ``limit``-th best, of the tile and of those before."""
     ids, wanted = asked
-    key = (lambda x: x) if digits is None else (lambda x: np.round(x, digits))
+
+    def ranked(x: np.ndarray) -> np.ndarray:
+        return x if digits is None else np.round(x, digits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        least = np.full(len(ids), -np.inf)  # what a query's next candidate has to reach
         for batch in batches:
-            chunks, tile = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1), wanted.shape[1]) @ wanted.T
-            for q in range(len(ids)):
-                sims, own = tile[:, q], chunks
-                ranked = key(sims)
-                if len(sims) > 2 * limit:
-                    # Whatever is below the limit-th of this batch can't be among the best.
-                    keep = ranked >= np.partition(ranked, len(ranked) - limit)[len(ranked) - limit]
-                    sims, own = sims[keep], own[keep]
-                sims, own = np.concatenate((best[q][0], sims)), np.concatenate((best[q][1], own))
-                order = np.lexsort((own, -key(sims)))[:limit]
-                best[q] = sims[order], own[order]
+            chunks, rows = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1), wanted.shape[1])
+            width = max(1, TILE // max(1, len(chunks)))
+            for start in range(0, len(ids), width):
+                with np.errstate(invalid="ignore", over="ignore"):
+                    tile = rows @ wanted[start : start + width].T
+                tile[~np.isfinite(tile)] = -np.inf
+                key = ranked(tile)
+                floor = least[start : start + width]
+                if len(chunks) > limit:
+                    floor = np.maximum(floor, np.partition(key, len(chunks) - limit, axis=0)[len(chunks) - limit])
+                at, q = np.nonzero((key >= floor) & (tile > -np.inf))
+                order = np.argsort(q, kind="stable")
+                at, q = at[order], q[order]
+                for k, a in zip(*np.unique(q, return_index=True)):
+                    own = at[a : a + np.searchsorted(q[a:], k, side="right")]
+                    sims, found = np.concatenate((best[start + k][0], tile[own, k])), np.concatenate((best[start + k][1], chunks[own]))
+                    first = np.lexsort((found, -ranked(sims)))[:limit]
+                    best[start + k] = sims[first], found[first]
+                    if len(first) == limit:
+                        least[start + k] = ranked(sims[first])[-1]
         sizes = [len(x) for x, _ in best]
         if sum(sizes):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([c for _, c in best])), pa.array(np.concatenate([s for s, _ in best]))], ["query_id", "chunk_id", "similarity"])
@@ -77,16 +87,19 @@ def tile_top(stored: DataFrame, asked: tuple[np.ndarray, np.ndarray], limit: int
 
 def nearest(embeddings: DataFrame, queries: DataFrame, limit: int = CANDIDATES, model: str | None = None, dimensions: int | None = None, digits: int | None = None) -> DataFrame:
     """The ``limit`` nearest passages of each query, with rank; ties (at ``digits`` decimals, if given) to the lower id.
-
-    Queries whose numbers are at most ``SENT`` go to every task as one matrix, and tasks send their best only; more
-    queries meet the vectors in a join, and Spark ranks before the shuffle."""
-    if (queries.agg(F.sum(F.size("vector").cast("long"))).first()[0] or 0) <= SENT:
-        asked = queries.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "vector").toArrow()
-        found = asked["query_id"].to_numpy(), matrix(asked["vector"].combine_chunks())
-        stored = of_model(embeddings, model, dimensions).where("embedding IS NOT NULL AND chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
-        rows = tile_top(stored, found, limit, digits).withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
-    else:
-        rows = similarities(embeddings, queries, model, dimensions)
+    A vector that is null, or whose similarity is not a finite number, takes no part.
+
+    Queries go to every task as a matrix of about ``SENT`` numbers, and tasks send their best only; more queries go in
+    blocks by a hash of their id, each a pass over the vectors."""
+    given = queries.where("vector IS NOT NULL AND query_id IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    numbers = given.agg(F.sum(F.size("vector").cast("long"))).first()[0] or 0
+    stored = of_model(embeddings, model, dimensions).where("embedding IS NOT NULL AND chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
+    blocks, parts = -(-numbers // SENT) or 1, []
+    for k in range(blocks):
+        asked = (given if blocks == 1 else given.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)).toArrow()
+        if asked.num_rows or not parts and k == blocks - 1:
+            parts.append(tile_top(stored, (asked["query_id"].to_numpy(), matrix(asked["vector"].combine_chunks())), limit, digits))
+    rows = functools.reduce(DataFrame.unionByName, parts).withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
     key = F.col("similarity") if digits is None else F.round("similarity", digits)
     order = Window.partitionBy("query_id").orderBy(F.desc(key), "chunk_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import time
 import uuid
@@ -9,12 +10,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from gleaner.functions import chunking, snippets, text, vectors
 from gleaner.operators import evidence, hybrid, incremental, keyword, listing, names, semantic
 from gleaner.sources import files as folders
 from gleaner.sources import readers as reading
+from gleaner.sources.folder_changes import FolderChanges
 from gleaner.sources.store import CONTENT, Store
+from gleaner.streaming import changes
 from gleaner.streaming.scans import Scan, Scans, Status
 
 VERSION = "0.1.0"
@@ -102,6 +106,23 @@ class Library:
                 found[row.id] = {"error": str(e).split("\n")[0]}
         return found
 
+    def watch(self, journal: str, quiet_ms: int = 2000, report: Callable[[Status], None] | None = None) -> StreamingQuery:
+        """Scans the locations that change, each after the changes end. Catches up first with what changed before."""
+        self.spark.dataSource.register(FolderChanges)
+        roots = [r.path for r in self.store.read("locations").collect()]
+        own = self.spark.createDataFrame(self.store.read("locations").select("id", "path").collect(), "id long, path string")
+        events = self.spark.readStream.format("folder_changes").option("roots", json.dumps(roots)).option("journal", journal).load()
+
+        def scan(location_id: int, _: str) -> None:
+            try:
+                self.rescan_location(location_id, report=report)
+            except (folders.Cancelled, LibraryError):
+                pass  # a newer scan took over, or the location was removed
+
+        query = changes.watch(events, lambda: own, scan, quiet_ms, checkpoint=f"{journal}/checkpoint")
+        self.catch_up(report)
+        return query
+
     def _rescan(self, scan: Scan, place, cancelled: Callable[[], bool], work: str) -> dict:
         def stop_if_cancelled() -> None:
             if cancelled():
@@ -117,19 +138,19 @@ class Library:
         seen, unreadable = folders.discover(self.spark, place.path, cancelled)
         old = lambda t, **k: self.store.read(t, base, **k)
         here = old("files").where(F.col("location_id") == place.id)
-        changes = written(incremental.classify(seen, here), "changes")
-        metrics = incremental.scan_metrics(changes).first().asDict() | {"unreadable": unreadable}
+        compared = written(incremental.classify(seen, here), "changes")
+        metrics = incremental.scan_metrics(compared).first().asDict() | {"unreadable": unreadable}
         found = metrics["found"]
         scan.say(state="hashing", files_found=found, files_processed=metrics["unchanged"], files_changed=found - metrics["unchanged"], unreadable=unreadable)
         stop_if_cancelled()
         # Files that are new or look changed are read once; so are those that still wait for it, as for a reader that came since.
-        touched = seen.join(changes.where("change IN ('new', 'check')").select("path"), "path", "left_semi")
+        touched = seen.join(compared.where("change IN ('new', 'check')").select("path"), "path", "left_semi")
         known = here.select("path", F.col("content_hash").alias("known_hash"), F.coalesce(F.col("status") != "indexed", F.lit(True)).alias("force"))
         due = touched.select("path", "kind").join(known, "path", "left").withColumn("force", F.coalesce("force", F.lit(True)))
-        waiting = listing.pending(here, include_images="image" in self.readers).join(changes.where("change = 'unchanged'").select("path"), "path", "left_semi")
+        waiting = listing.pending(here, include_images="image" in self.readers).join(compared.where("change = 'unchanged'").select("path"), "path", "left_semi")
         due = written(due.unionByName(waiting.select("path", "kind", F.col("content_hash").alias("known_hash"), F.lit(True).alias("force"))), "due")
         to_read = due.count()
-        gone = here.join(changes.where("change = 'deleted'").select("path"), "path", "left_semi").select("file_id")
+        gone = here.join(compared.where("change = 'deleted'").select("path"), "path", "left_semi").select("file_id")
         seen_by = Observation("read")
         done = reading.examined(due.repartition(max(1, min(4096, to_read // 16 + 1))), self.readers)
         done = done.observe(seen_by, F.count_if(F.col("was_read")).alias("reads"), F.count_if(F.col("was_read") & F.col("read_problem").isNotNull()).alias("read_failed"), F.count_if(F.col("problem").isNotNull()).alias("failed"))

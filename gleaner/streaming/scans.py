@@ -92,11 +92,11 @@ class Scan:
         return Following(self, of)
 
     def __enter__(self) -> Scan:
-        self.scans.spark.addTag(self.tag)
+        self.scans.spark.sparkContext.addJobTag(self.tag)
         return self
 
     def __exit__(self, kind, error, trace) -> None:
-        self.scans.spark.removeTag(self.tag)
+        self.scans.spark.sparkContext.removeJobTag(self.tag)
         if error is None:
             return
         if self.stopped and not isinstance(error, Cancelled):
