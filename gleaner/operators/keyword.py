@@ -6,6 +6,8 @@ query's terms prune row groups. Statistics are aggregates over it: never cached
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,11 +66,11 @@ def phrase_frequency(posting: DataFrame, terms: DataFrame) -> DataFrame:
     return single.unionByName(whole)
 
 
-def scores(posting: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
+def scores(posting: DataFrame, stats: DataFrame, terms: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
     """(query_id, chunk_id, bm25, mask): passages that hold at least one term; bit ``term_pos`` of ``mask`` is set for
     each that matches. A term's share of a passage's score is computed once, whatever the number of queries that
-    have it; queries fan out once, into one aggregation."""
-    found = phrase_frequency(posting, terms)
+    have it; queries fan out once, into one aggregation. ``keep`` may write down the occurrences, which are read twice."""
+    found = keep(phrase_frequency(posting, terms), "occurrences")
     df = found.groupBy("words").agg(F.count("*").alias("df"))
     # One row: the corpus and its mean length.
     weighed = found.join(df, "words").join(stats, "chunk_id").crossJoin(F.broadcast(corpus_stats(stats)))
@@ -109,12 +111,12 @@ def top_candidates(rows: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit).drop("nth")
 
 
-def search(posting: DataFrame, stats: DataFrame, chunks: DataFrame, documents: DataFrame, files: DataFrame, queries: DataFrame, limit: int = CANDIDATES, stemmed: bool = True) -> DataFrame:
+def search(posting: DataFrame, stats: DataFrame, chunks: DataFrame, documents: DataFrame, files: DataFrame, queries: DataFrame, limit: int = CANDIDATES, stemmed: bool = True, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
     """Per query: the best passage of each file, first by number of its terms, then by score.
 
     (query_id, rank, chunk_id, file_id, path, kind, page_number, matched_terms, query_term_count, bm25)."""
     terms = term_rows(queries, stemmed)
-    best = best_passage(scores(posting, stats, terms), chunks.select("chunk_id", "document_id", "page_number"))
+    best = best_passage(scores(posting, stats, terms, keep), chunks.select("chunk_id", "document_id", "page_number"))
     top = with_matched(top_candidates(best), terms).join(documents.select("document_id", "file_id"), "document_id").join(files.select("file_id", "path", "kind"), "file_id")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.size("matched")), "bm25", "chunk_id")
     ranked = top.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

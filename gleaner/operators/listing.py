@@ -26,6 +26,16 @@ def page(files: DataFrame, limit: int = PAGE, offset: int = 0) -> DataFrame:
     return files.orderBy(F.desc_nulls_last("modified_at"), "path").offset(max(0, offset)).limit(max(1, min(MOST, limit)))
 
 
+def page_after(files: DataFrame, last: tuple[int | None, str] | None, limit: int = PAGE) -> DataFrame:
+    """The page that follows the row ``last`` (its time and path), whatever was added before it meanwhile: rows that come
+    earlier are filtered out, not counted off, so each page costs the same."""
+    if last is not None:
+        time, path = last
+        later = F.col("path") > path
+        files = files.where(F.col("modified_at").isNull() & later if time is None else (F.col("modified_at") < time) | F.col("modified_at").isNull() | (F.col("modified_at") == time) & later)
+    return page(files, limit)
+
+
 def location_counts(locations: DataFrame, files: DataFrame) -> DataFrame:
     counts = files.groupBy("location_id").agg(F.count("*").alias("files"), F.count_if(F.col("status") == "indexed").alias("indexed"), F.count_if(F.col("status") == "error").alias("failed"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)

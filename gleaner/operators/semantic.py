@@ -85,20 +85,27 @@ def tile_top(stored: DataFrame, asked: tuple[np.ndarray, np.ndarray], limit: int
     return stored.mapInArrow(run, "query_id long, chunk_id long, similarity double")
 
 
+def query_blocks(queries: DataFrame) -> Iterator[pa.Table]:
+    """The queries that have an id and a vector, as tables of about ``SENT`` numbers, dealt by a hash of the id; at least
+    one table, if an empty one."""
+    given = queries.where("vector IS NOT NULL AND query_id IS NOT NULL").withColumn("query_id", F.col("query_id").cast("long"))
+    numbers = given.agg(F.sum(F.size("vector").cast("long"))).first()[0] or 0
+    blocks, any_yet = -(-numbers // SENT) or 1, False
+    for k in range(blocks):
+        block = (given if blocks == 1 else given.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)).toArrow()
+        if block.num_rows or not any_yet and k == blocks - 1:
+            any_yet = True
+            yield block
+
+
 def nearest(embeddings: DataFrame, queries: DataFrame, limit: int = CANDIDATES, model: str | None = None, dimensions: int | None = None, digits: int | None = None) -> DataFrame:
     """The ``limit`` nearest passages of each query, with rank; ties (at ``digits`` decimals, if given) to the lower id.
     A vector that is null, or whose similarity is not a finite number, takes no part.
 
     Queries go to every task as a matrix of about ``SENT`` numbers, and tasks send their best only; more queries go in
     blocks by a hash of their id, each a pass over the vectors."""
-    given = queries.where("vector IS NOT NULL AND query_id IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "vector")
-    numbers = given.agg(F.sum(F.size("vector").cast("long"))).first()[0] or 0
     stored = of_model(embeddings, model, dimensions).where("embedding IS NOT NULL AND chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
-    blocks, parts = -(-numbers // SENT) or 1, []
-    for k in range(blocks):
-        asked = (given if blocks == 1 else given.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)).toArrow()
-        if asked.num_rows or not parts and k == blocks - 1:
-            parts.append(tile_top(stored, (asked["query_id"].to_numpy(), matrix(asked["vector"].combine_chunks())), limit, digits))
+    parts = [tile_top(stored, (asked["query_id"].to_numpy(), matrix(asked["vector"].combine_chunks())), limit, digits) for asked in query_blocks(queries.select("query_id", "vector"))]
     rows = functools.reduce(DataFrame.unionByName, parts).withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
     key = F.col("similarity") if digits is None else F.round("similarity", digits)
     order = Window.partitionBy("query_id").orderBy(F.desc(key), "chunk_id")
@@ -111,9 +118,9 @@ def matches(near: DataFrame) -> DataFrame:
     return near.withColumn("best", best).where(vectors.is_match(F.col("similarity"), F.col("best"))).drop("best")
 
 
-def search(embeddings: DataFrame, chunks: DataFrame, documents: DataFrame, files: DataFrame, queries: DataFrame, model: str | None = None, dimensions: int | None = None) -> DataFrame:
+def search(embeddings: DataFrame, chunks: DataFrame, documents: DataFrame, files: DataFrame, queries: DataFrame, model: str | None = None, dimensions: int | None = None, digits: int | None = None) -> DataFrame:
     """(query_id, file_id, path, kind, chunk_id, page_number, text, similarity, score): of each file its nearest passage that matches."""
-    hits = matches(nearest(embeddings, queries, CANDIDATES, model, dimensions))
+    hits = matches(nearest(embeddings, queries, CANDIDATES, model, dimensions, digits))
     rows = hits.join(chunks.select("chunk_id", "document_id", "page_number", "text"), "chunk_id").join(documents.select("document_id", "file_id"), "document_id")
     first = Window.partitionBy("query_id", "file_id").orderBy(F.desc("similarity"), "chunk_id")
     best = rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").join(files.select("file_id", "path", "kind"), "file_id")

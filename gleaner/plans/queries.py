@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import chunking, snippets, stemming, text, vectors
-from gleaner.operators import calibration, evidence, hybrid, incremental, keyword, listing, names, semantic
+from gleaner.operators import blockmax, calibration, evidence, hybrid, incremental, keyword, listing, names, ordering, semantic
+from gleaner.sources.scratch import written
 from gleaner.streaming import changes
 
 from . import binding as b
@@ -67,7 +68,8 @@ def typed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
     terms = typed_terms(spark, sf_dir)
     words = terms.select(F.explode("words").alias("term"))
-    found = keyword.scores(keyword.postings(chunks, stemmed=False, only=words), keyword.chunk_stats(chunks, stemmed=False), terms)
+    posting = written(keyword.postings(chunks, stemmed=False, only=words), "postings")
+    found = keyword.scores(posting, keyword.chunk_stats(chunks, stemmed=False), terms, written)
     return found.withColumn("bm25", F.round("bm25", 6))
 
 
@@ -79,6 +81,20 @@ def bm25_unstemmed(spark, sf_dir):
     return ranked.where("rank <= 10")
 
 
+@query(ORACLES["bm25_unstemmed"])
+def bm25_block_max(spark, sf_dir):
+    """The same hits from blocks of postings, of which only those are read that can reach the tenth best."""
+    chunks, terms = b.passages(spark, sf_dir), typed_terms(spark, sf_dir)
+    posting = written(keyword.postings(chunks, stemmed=False, only=terms.select(F.explode("words").alias("term"))), "postings")
+    stats = written(keyword.chunk_stats(chunks, stemmed=False), "stats")
+    each = keyword.phrase_frequency(posting, terms).select(F.array_join("words", " ").alias("term"), "chunk_id", "tf")
+    block = written(blockmax.blocks(each, stats, blockmax.range_bits(stats.count())), "blocks")
+    hits, _ = blockmax.top(block, stats, terms, 10)
+    order = Window.partitionBy("query_id").orderBy("bm25", "chunk_id")
+    rows = hits.withColumn("bm25", F.round("bm25", 6)).select("query_id", "chunk_id", "bm25", F.bit_count("mask").cast("long").alias("matched"), F.row_number().over(order).cast("long").alias("rank"))
+    return rows.where("rank <= 10")
+
+
 @query(f"WITH ch AS (SELECT conv_id * 1000 + turn AS chunk_id, conv_id AS document_id, text FROM conversations), {TERMS}, {BM25} SELECT query_id, document_id, chunk_id, bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY bm25, chunk_id) AS k FROM sc JOIN ch USING (chunk_id)) WHERE k = 1")
 def best_passage_per_file(spark, sf_dir):
     chunks = b.pages(spark, sf_dir).select("chunk_id", "document_id", "text")
@@ -98,20 +114,21 @@ def phrase_match(spark, sf_dir):
     docs = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     words = b.queries(spark, sf_dir).select("query_id", text.tokens(F.col("query")).alias("all")).where(F.size("all") > 1)
     phrases = words.select("query_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("all") - 1), lambda k: F.slice("all", k, 2))).alias("words")).distinct()
-    found = keyword.phrase_frequency(keyword.postings(docs, stemmed=False, only=phrases.select(F.explode("words").alias("term"))), phrases)
+    posting = written(keyword.postings(docs, stemmed=False, only=phrases.select(F.explode("words").alias("term"))), "postings")
+    found = keyword.phrase_frequency(posting, phrases)
     return found.join(phrases, "words").select("query_id", F.array_join("words", " ").alias("phrase"), "chunk_id", F.col("tf").cast("long").alias("tf"))
 
 
 def asked_postings(chunks: DataFrame, asked: DataFrame) -> DataFrame:
     """The stemmed postings that the searches need."""
-    return keyword.postings(chunks, only=keyword.term_rows(asked).select(F.explode("words").alias("term")))
+    return written(keyword.postings(chunks, only=keyword.term_rows(asked).select(F.explode("words").alias("term"))), "postings")
 
 
 @query()
 def keyword_stemmed(spark, sf_dir):
     """Stemmed keyword search of the benchmark's texts; held against SQLite's own index in the tests."""
     chunks, files = b.passages(spark, sf_dir), b.files(spark, sf_dir)
-    return keyword.search(asked_postings(chunks, b.queries(spark, sf_dir)), keyword.chunk_stats(chunks), chunks, b.documents(spark, sf_dir), files, b.queries(spark, sf_dir), 20)
+    return keyword.search(asked_postings(chunks, b.queries(spark, sf_dir)), keyword.chunk_stats(chunks), chunks, b.documents(spark, sf_dir), files, b.queries(spark, sf_dir), 20, keep=written)
 
 
 @query()
@@ -123,7 +140,9 @@ def keyword_snippets(spark, sf_dir):
     return chunks.where(hit).select("chunk_id", snippets.snippet_column(F.col("text"), terms).alias("snippet"))
 
 
-@query()
+@query(rf"""WITH w AS (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '[^\s]+')) AS w, unnest(range(len(regexp_extract_all(text, '[^\s]+')))) AS i FROM benchmark),
+f AS (SELECT query_id, i, array_to_string({TOKENS.format("w")}, ' ') AS term, regexp_replace(regexp_replace(w, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}]+$', '') AS typed FROM w)
+SELECT query_id, term, arg_max(typed, i) AS typed FROM f WHERE term <> '' GROUP BY query_id, term""")
 def typed_forms(spark, sf_dir):
     return b.queries(spark, sf_dir).select("query_id", F.explode(text.typed_forms(F.col("query"))).alias("term", "typed"))
 
@@ -134,6 +153,13 @@ def highlight_words(spark, sf_dir):
     return docs.select("conv_id", "turn", snippets.highlight_column(F.col("text"), F.array(F.lit("tion"), F.lit("re"))).alias("parts"))
 
 
+@query(r"SELECT conv_id, turn, regexp_replace(text, '(^|[^\p{L}\p{N}])((?i:tion|re)[\p{L}\p{N}]*)', '\1[\2]', 'g') AS marked FROM conversations")
+def highlight_marked(spark, sf_dir):
+    """The highlighted words of every turn, in brackets."""
+    rows = highlight_words(spark, sf_dir)
+    return rows.select("conv_id", "turn", F.array_join(F.transform("parts", lambda p: F.when(p.highlight, F.concat(F.lit("["), p.text, F.lit("]"))).otherwise(p.text)), "").alias("marked"))
+
+
 # --- names -------------------------------------------------------------------------------------
 
 TITLED = r"named AS (SELECT file_id, filename, CASE WHEN kind <> 'image' THEN regexp_extract(text, '^[^\s]+') END AS title FROM files)"
@@ -174,6 +200,15 @@ def list_files_page(spark, sf_dir):
     return listing.page(listing.matching(b.files(spark, sf_dir), kind="pdf", name=" DOC 1 "), 100, 10).select("file_id", "path", "modified_at")
 
 
+@query(f"WITH {FILES}, o AS (SELECT *, row_number() OVER (ORDER BY modified_at DESC NULLS LAST, path) AS n FROM files), l AS (SELECT min(n) AS n FROM o WHERE file_id = (SELECT max(doc_id) // 2 FROM documents)) SELECT file_id, path, modified_at FROM o, l WHERE o.n > l.n AND o.n <= l.n + 500")
+def list_files_after(spark, sf_dir):
+    """The page after the file in the middle of the ids."""
+    files = b.files(spark, sf_dir)
+    middle = b.table(spark, sf_dir, "documents").agg(F.floor(F.max("doc_id") / 2).alias("file_id"))
+    last = files.join(F.broadcast(middle), "file_id").select("modified_at", "path").first()
+    return listing.page_after(files, (last.modified_at, last.path), 500).select("file_id", "path", "modified_at")
+
+
 @query(f"WITH {FILES} SELECT count(*) AS total FROM files WHERE kind = 'pdf' AND contains(lower(filename), 'doc 1')")
 def list_files_total(spark, sf_dir):
     return listing.matching(b.files(spark, sf_dir), kind="pdf", name="doc 1").agg(F.count("*").alias("total"))
@@ -326,17 +361,45 @@ r AS (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY relevance DE
 SELECT query_id, file_id, round(relevance, 6) AS relevance, rank FROM r WHERE rank <= 20"""
 
 
+def unstemmed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, terms = b.files(spark, sf_dir), typed_terms(spark, sf_dir)
+    hits = keyword.with_matched(keyword.top_candidates(scored(spark, sf_dir, b.passages(spark, sf_dir))), terms).withColumnRenamed("chunk_id", "file_id").join(files.select("file_id", "path", "kind"), "file_id")
+    return hits.select("query_id", "file_id", "path", "kind", F.col("file_id").alias("chunk_id"), F.lit(None).cast("int").alias("page_number"), F.col("matched").alias("matched_terms"), "query_term_count")
+
+
 @query(HYBRID)
 def hybrid_unstemmed(spark, sf_dir):
     files, documents, asked = b.files(spark, sf_dir), b.documents(spark, sf_dir), b.queries(spark, sf_dir)
-    terms = typed_terms(spark, sf_dir)
-    hits = keyword.with_matched(keyword.top_candidates(scored(spark, sf_dir, b.passages(spark, sf_dir))), terms).withColumnRenamed("chunk_id", "file_id").join(files.select("file_id", "path", "kind"), "file_id")
-    hits = hits.select("query_id", "file_id", "path", "kind", F.col("file_id").alias("chunk_id"), F.lit(None).cast("int").alias("page_number"), F.col("matched").alias("matched_terms"), "query_term_count")
+    hits = unstemmed_hits(spark, sf_dir)
     nothing = hits.where("false").select("query_id", "file_id", "path", "kind", "chunk_id", "page_number", F.lit("").alias("text"), F.lit(0.0).alias("score"))
     found = hybrid.fuse(nothing, hits, names.search(files, documents, asked), asked, with_model=False, limit=20)
     return found.select("query_id", "file_id", F.round("relevance", 6).alias("relevance"), F.col("rank").cast("long").alias("rank"))
 
 
+HASHED = HASH_BUCKETS.replace("doc_id", "id")
+HYBRID_VECTORS = HYBRID.split("\nf AS (")[0] + f"""
+hd AS (SELECT id, bucket, count(*) AS n FROM ({HASHED.replace("FROM documents", "FROM (SELECT chunk_id AS id, text FROM ch)")}) GROUP BY ALL),
+hq AS (SELECT id AS query_id, bucket, count(*) AS n FROM ({HASHED.replace("FROM documents", "FROM (SELECT item_id AS id, text FROM benchmark)")}) GROUP BY ALL),
+ud AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS x FROM hd), uq AS (SELECT query_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY query_id)) AS x FROM hq),
+hs AS (SELECT query_id, id AS file_id, sum(ud.x * uq.x) AS sim FROM ud JOIN uq USING (bucket) GROUP BY ALL),
+hk AS (SELECT *, max(sim) OVER (PARTITION BY query_id) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, file_id) AS c FROM hs) WHERE c <= 200),
+sm AS (SELECT query_id, file_id, greatest(0, least(1, (CAST(CAST(sim AS FLOAT) AS DOUBLE) - 0.55) / (0.75 - 0.55))) AS s FROM hk WHERE CAST(sim AS FLOAT) >= CAST(0.55 AS FLOAT) AND CAST(sim AS FLOAT) >= CAST(best AS FLOAT) - CAST(0.06 AS FLOAT)),
+f AS (SELECT query_id, file_id, m, CAST(0.65 AS DOUBLE) * coalesce(s, CAST(0 AS DOUBLE)) + CAST(0.25 AS DOUBLE) * coalesce(k, CAST(0 AS DOUBLE)) + CAST(0.1 AS DOUBLE) * coalesce(m, CAST(0 AS DOUBLE)) AS relevance FROM kw FULL JOIN nc USING (query_id, file_id) FULL JOIN sm USING (query_id, file_id)),
+r AS (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY round(relevance, 9) DESC, m IS NOT NULL DESC, string_split(path, '/')) AS rank FROM f JOIN files USING (file_id))
+SELECT query_id, file_id, round(relevance, 6) AS relevance, rank FROM r WHERE rank <= 20"""
+
+
+@query(HYBRID_VECTORS)
+def hybrid_vectors(spark, sf_dir):
+    """All three signals, as users search, with words as typed and the hash embedder's vectors."""
+    files, documents, asked, chunks = b.files(spark, sf_dir), b.documents(spark, sf_dir), b.queries(spark, sf_dir), b.passages(spark, sf_dir)
+    embedder = vectors.HashEmbedder()
+    stored = chunks.select("chunk_id", embedder.embed(F.col("text")).alias("embedding"))
+    near = semantic.search(stored, chunks, documents, files, asked.select("query_id", embedder.embed_query(F.col("query")).alias("vector")), digits=6)
+    found = hybrid.fuse(near, unstemmed_hits(spark, sf_dir), names.search(files, documents, asked), asked, with_model=True, limit=20)
+    return found.select("query_id", "file_id", F.round("relevance", 6).alias("relevance"), F.col("rank").cast("long").alias("rank"))
+
+
 @query()
 def hybrid_search(spark, sf_dir):
     """All three signals, stemmed, with the hash embedder's vectors."""
@@ -348,7 +411,7 @@ def hybrid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     embedder = vectors.HashEmbedder()
     stored = chunks.select("chunk_id", embedder.embed(F.col("text")).alias("embedding"))
     near = semantic.search(stored, chunks, documents, files, asked.select("query_id", embedder.embed_query(F.col("query")).alias("vector")))
-    words = keyword.search(asked_postings(chunks, asked), keyword.chunk_stats(chunks), chunks, documents, files, asked)
+    words = keyword.search(asked_postings(chunks, asked), keyword.chunk_stats(chunks), chunks, documents, files, asked, keep=written)
     return hybrid.fuse(near, words, names.search(files, documents, asked), asked, with_model=True)
 
 
@@ -401,8 +464,8 @@ def file_kinds(spark, sf_dir):
 
 @query(f"WITH {FILES} SELECT file_id, row_number() OVER (ORDER BY string_split(path, '/'), file_id) AS place FROM files")
 def path_order(spark, sf_dir):
-    order = Window.orderBy(hybrid.path_order(F.col("path")), "file_id")
-    return b.files(spark, sf_dir).select("file_id", F.row_number().over(order).cast("long").alias("place"))
+    rows = b.files(spark, sf_dir).select("file_id", hybrid.path_order(F.col("path")).alias("parts"))
+    return ordering.with_place(rows, F.col("parts"), F.col("file_id")).select("file_id", "place")
 
 
 @query()
@@ -516,3 +579,27 @@ h AS (SELECT *, sim >= CAST(0.55 AS FLOAT) AND sim >= best - CAST(0.06 AS FLOAT)
 SELECT count(*) FILTER (WHERE hit AND rel) AS found, count(*) FILTER (WHERE hit AND NOT rel) AS wrong, count(*) FILTER (WHERE nth = 1 AND rel) AS top_right, count(*) FILTER (WHERE hit AND a = 0) AS unrelated FROM h""")
 def answer_quality(spark, sf_dir):
     return calibration.answer_quality(labelled(spark, sf_dir))
+
+
+REAL = """v AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS e FROM embeddings),
+pr AS (SELECT q.vec_id AS q, c.vec_id AS id, list_dot_product(c.e, q.e) AS sim, c.label = q.label AS rel FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)"""
+
+
+def labelled_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and those whose id is divisible by 100 as queries; a pair is right if the labels agree."""
+    rows = b.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", vectors.normalized(F.transform("embedding", lambda x: x.cast("double"))).alias("embedding"))
+    return rows, rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "label", F.col("embedding").alias("vector"))
+
+
+@query(f"WITH {REAL}, st AS (SELECT unnest(range(45, 76)) AS step), f AS (SELECT step, count(*) FILTER (WHERE rel AND floor(round(sim * 100, 9)) >= step) AS found, count(*) FILTER (WHERE NOT rel AND floor(round(sim * 100, 9)) >= step) AS wrong FROM st, pr GROUP BY step), p AS (SELECT *, found / greatest(found + wrong, 1) AS precision, found / greatest((SELECT count(*) FROM pr WHERE rel), 1) AS found_share FROM f) SELECT step / 100.0::DOUBLE AS threshold, found, wrong, round(precision, 6) AS precision, round(found_share, 6) AS found_share, round(2 * precision * found_share / greatest(precision + found_share, 1.1920929e-07), 6) AS f1 FROM p")
+def calibration_sweep(spark, sf_dir):
+    """Thresholds over the scores of every query against every vector."""
+    rows = calibration.sweep(calibration.histogram(*labelled_vectors(spark, sf_dir)))
+    return rows.select("threshold", "found", "wrong", *(F.round(c, 6).alias(c) for c in ("precision", "found_share", "f1")))
+
+
+@query(f"""WITH {REAL}, w AS (SELECT q, id, rel, CAST(sim AS FLOAT) AS sim, CAST(max(sim) OVER (PARTITION BY q) AS FLOAT) AS best, bool_or(rel) OVER (PARTITION BY q) AS a, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) AS nth FROM pr),
+h AS (SELECT *, sim >= CAST(0.55 AS FLOAT) AND sim >= best - CAST(0.06 AS FLOAT) AS hit FROM w)
+SELECT count(*) FILTER (WHERE hit AND rel) AS found, count(*) FILTER (WHERE hit AND NOT rel) AS wrong, count(*) FILTER (WHERE nth = 1 AND rel) AS top_right, count(*) FILTER (WHERE hit AND NOT a) AS unrelated FROM h""")
+def calibration_quality(spark, sf_dir):
+    return calibration.quality(*labelled_vectors(spark, sf_dir))
