@@ -16,7 +16,6 @@ The map has no shuffle, and its memory is bounded by one Arrow batch, the word t
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -26,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import column
+from .common import column, sole
 
 #: The byte-level alphabet's printable ranges, and the pre-token pattern of the vocabulary.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -215,9 +214,8 @@ class Encoder:
         return b"".join(self.vocabulary.bytes[i] for i in ids).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, max_words: int) -> Encoder:
-    return Encoder(path, max_words)
+    return sole(("bpe", path, max_words), lambda: Encoder(path, max_words))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, max_words: int = MAX_WORDS) -> DataFrame:

@@ -70,6 +70,18 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -
     return rows.join(kept, "__key", "left_semi").select(*docs.columns)
 
 
+_held: dict = {}
+
+
+def sole(key, build):
+    """The model that this worker holds, made by ``build`` unless it is that of ``key`` already. A worker that runs one stage
+    after another holds one model, not one a stage: the earlier one is dropped first."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

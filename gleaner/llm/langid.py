@@ -21,7 +21,6 @@ results, repeated rows repeated ones, and an empty table an empty one; extra col
 
 from __future__ import annotations
 
-import functools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, sole
 
 UNKNOWN = "und"
 BLOCK, LETTERS, SHARED = 1024, 96, 8
@@ -154,9 +153,8 @@ class Model:
         return named, scores
 
 
-@functools.lru_cache(maxsize=1)
 def model_of(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
-    return Model({lang: list(texts) for lang, texts in samples})
+    return sole(("langid", samples), lambda: Model({lang: list(texts) for lang, texts in samples}))
 
 
 def fold(id_col: Column, folds: int) -> Column:
