@@ -10,20 +10,35 @@ from gleaner.functions import text
 CANDIDATES = 200
 
 
-def word_matches(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, term_pos, file_id): names with a word that starts with a one-word term's stem. Each distinct word offers its
-    prefixes once, so prefixes and stems meet in an equi-join and no name is held against every term."""
+def least_files(rows: DataFrame, key: str, limit: int | None) -> DataFrame:
+    """Of each key the ``limit`` least file ids; tasks cut before the shuffle. A file among a query's least is among the
+    least of each of its terms and words, so cutting those first loses nothing."""
+    if limit is None:
+        return rows
+    first = Window.partitionBy(key).orderBy("file_id")
+    return rows.withColumn("__nth", F.row_number().over(first)).where(F.col("__nth") <= limit).drop("__nth")
+
+
+def word_matches(words: DataFrame, terms: DataFrame, limit: int | None = None) -> DataFrame:
+    """(query_id, term_pos, file_id): names with a word that starts with a one-word term's stem. The dictionary of distinct
+    words offers its beginnings, of the lengths that some stem has and no others, and meets the stems in an equi-join; files
+    come in cut to the ``limit`` least a word and stem, and only then queries fan out."""
     stemmed = terms.where("size(words) = 1").withColumn("stem", text.plural_stem(F.col("term")))
-    beginnings = F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.substring(F.col("word"), F.lit(1), k))
-    starts = words.select("word").distinct().select("word", F.explode(beginnings).alias("stem")).join(stemmed.select("stem").distinct(), "stem")
-    return words.join(starts, "word").join(stemmed, "stem").select("query_id", "term_pos", "file_id")
+    lengths = stemmed.agg(F.collect_set(F.length("stem")).alias("lengths"))  # one row
+    dictionary = words.select("word").distinct().crossJoin(F.broadcast(lengths))
+    asked_for = F.filter("lengths", lambda n: n <= F.length("word"))
+    starts = dictionary.select("word", F.explode(F.transform(asked_for, lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("stem")).join(stemmed.select("stem").distinct(), "stem")
+    held = least_files(words, "word", limit).join(starts, "word").select("stem", "file_id").distinct()
+    return least_files(held, "stem", limit).join(stemmed, "stem").select("query_id", "term_pos", "file_id")
 
 
-def phrase_matches(named: DataFrame, terms: DataFrame) -> DataFrame:
+def phrase_matches(named: DataFrame, terms: DataFrame, limit: int | None = None) -> DataFrame:
     """(query_id, term_pos, file_id): names that hold a phrase's words in a row, found by its first two."""
-    phrases = terms.where("size(words) > 1").withColumn("two", F.slice("words", 1, 2))
+    phrases = terms.where("size(words) > 1")
+    wanted = phrases.select("words").distinct().withColumn("two", F.slice("words", 1, 2))
     pairs = named.where(F.size("own") > 1).select("file_id", "own", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("own") - 1), lambda k: F.slice("own", k, 2))).alias("at", "two"))
-    return pairs.join(phrases, "two").where(F.slice("own", F.col("at") + 1, F.size("words")) == F.col("words")).select("query_id", "term_pos", "file_id")
+    held = pairs.join(wanted, "two").where(F.slice("own", F.col("at") + 1, F.size("words")) == F.col("words")).select("words", "file_id").distinct()
+    return least_files(held, "words", limit).join(phrases, "words").select("query_id", "term_pos", "file_id")
 
 
 def search(files: DataFrame, documents: DataFrame, queries: DataFrame, strict_prefilter: bool = False, limit: int = CANDIDATES) -> DataFrame:
@@ -34,7 +49,8 @@ def search(files: DataFrame, documents: DataFrame, queries: DataFrame, strict_pr
     named = named.withColumn("own", text.pieces(F.concat("filename", F.lit(" "), F.coalesce("title", F.lit("")))))
     asked = queries.select("query_id", text.query_terms(F.col("query")).alias("terms")).where(F.size("terms") > 0)
     terms = asked.select("query_id", F.posexplode("terms").alias("term_pos", "term")).withColumn("words", F.split("term", " "))
-    found = word_matches(named.select("file_id", F.explode(F.array_distinct("own")).alias("word")), terms).unionByName(phrase_matches(named, terms))
+    cut = None if strict_prefilter else limit  # the prefilter comes before the limit
+    found = word_matches(named.select("file_id", F.explode(F.array_distinct("own")).alias("word")), terms, cut).unionByName(phrase_matches(named, terms, cut))
     # A query has at most 64 terms: which of them match is one long.
     rows = found.groupBy("query_id", "file_id").agg(F.bit_or(F.expr("shiftleft(1L, term_pos)")).alias("mask"))
     if strict_prefilter:

@@ -101,6 +101,16 @@ def best_passage_per_file(spark, sf_dir):
     return keyword.best_passage(scored(spark, sf_dir, chunks), chunks.select("chunk_id", "document_id")).select("query_id", "document_id", "chunk_id", "bm25")
 
 
+@query(f"""WITH {FILES}, {READ}, {TERMS}, {BM25}, hit AS (SELECT query_id, chunk_id, string_agg(term, '|' ORDER BY term_pos) AS matched, count(*) AS n FROM terms JOIN tf USING (term) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, chunk_id) AS c FROM sc)
+SELECT query_id, chunk_id, hit.matched, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, bm25, chunk_id) AS rank FROM best JOIN hit USING (query_id, chunk_id) WHERE c <= 200""")
+def matched_terms(spark, sf_dir):
+    """The 200 best passages of each search with its terms that they hold, in its order, those with most of them first."""
+    top = keyword.with_matched(keyword.top_candidates(scored(spark, sf_dir, b.passages(spark, sf_dir))), typed_terms(spark, sf_dir))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.size("matched")), "bm25", "chunk_id")
+    return top.select("query_id", "chunk_id", F.array_join("matched", "|").alias("matched"), F.row_number().over(order).cast("long").alias("rank"))
+
+
 @query(f"WITH {TERMS} SELECT query_id, term_pos, term FROM terms")
 def query_terms(spark, sf_dir):
     return keyword.term_rows(b.queries(spark, sf_dir), stemmed=False).select("query_id", F.col("term_pos").cast("long").alias("term_pos"), "term")
@@ -184,6 +194,13 @@ def name_match(spark, sf_dir):
     return found.select("query_id", "file_id", F.size("matched_terms").cast("long").alias("matched"))
 
 
+@query(f"WITH {FILES}, {TITLED}, {NAME_QUERIES}, {NAMED}\nSELECT query_id, file_id, matched FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file_id) AS nth FROM (SELECT query_id, file_id, count(*) AS matched FROM n WHERE {HAS} GROUP BY ALL)) WHERE nth <= 20")
+def name_first(spark, sf_dir):
+    """The twenty least ids of each search."""
+    found = names.search(b.files(spark, sf_dir), b.documents(spark, sf_dir), name_queries(spark, sf_dir), limit=20)
+    return found.select("query_id", "file_id", F.size("matched_terms").cast("long").alias("matched"))
+
+
 @query(f"""WITH {FILES}, {TITLED}, {NAME_QUERIES}, {NAMED},
 ok AS (SELECT DISTINCT query_id, file_id FROM named, (SELECT query_id, term AS t FROM terms) WHERE contains(translate(filename || ' ' || coalesce(title, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {STEM}))
 SELECT query_id, file_id, count(*) AS matched FROM n JOIN ok USING (query_id, file_id) WHERE {HAS} GROUP BY ALL""")
@@ -248,6 +265,15 @@ def document_pages(spark, sf_dir):
     return evidence.document_pages(b.pages(spark, sf_dir), b.page_documents(spark, sf_dir)).drop("page_start")
 
 
+@query("SELECT conv_id AS document_id, count(*) AS chunk_count, string_agg(CAST(turn + 1 AS INTEGER) || ':' || md5(text), ',' ORDER BY turn) AS pages FROM conversations GROUP BY conv_id")
+def stored_documents(spark, sf_dir):
+    """Each document with the number of its passages and its pages in order."""
+    docs = b.page_documents(spark, sf_dir).select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("title", "string"), ("author", "string"), ("page_count", "int"), ("word_count", "int"))))
+    found = evidence.stored_documents(b.pages(spark, sf_dir), docs)
+    shown = F.transform("pages", lambda p: F.concat(p.number.cast("string"), F.lit(":"), F.md5(p.text)))
+    return found.select("document_id", "chunk_count", F.array_join(shown, ",").alias("pages"))
+
+
 def tampered(chunks: DataFrame) -> DataFrame:
     """Two passages a page, each a half; some do not match their document."""
     half = F.floor(F.length("text") / 2).cast("int")
@@ -317,6 +343,11 @@ def missing_embeddings(spark, sf_dir):
     return semantic.missing(vecs, stored, "m")
 
 
+@query("SELECT count(*) AS missing FROM embeddings WHERE NOT (vec_id % 3 = 0 OR vec_id % 2 = 0)")
+def missing_count(spark, sf_dir):
+    return missing_embeddings(spark, sf_dir).agg(F.count("*").alias("missing"))
+
+
 @query("SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 5) AS norm FROM embeddings")
 def normalized_vectors(spark, sf_dir):
     v = F.transform("embedding", lambda x: x * 3)
@@ -400,6 +431,40 @@ def hybrid_vectors(spark, sf_dir):
     return found.select("query_id", "file_id", F.round("relevance", 6).alias("relevance"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(HYBRID.split("\nSELECT query_id, file_id, round")[0].replace("SELECT f.*, row_number()", "SELECT f.*, filename, kind, row_number()") + """
+SELECT query_id, rank, CASE WHEN k IS NOT NULL THEN 'chunk-' || file_id ELSE 'file-' || file_id END AS result_id, filename, kind, CASE WHEN round(relevance, 9) >= 0.7 THEN 'Strong match' WHEN round(relevance, 9) >= 0.4 THEN 'Good match' ELSE 'Partial match' END AS label FROM r WHERE rank <= 20""")
+def hybrid_results(spark, sf_dir):
+    """What a result is known by and shown as."""
+    files, documents, asked = b.files(spark, sf_dir), b.documents(spark, sf_dir), b.queries(spark, sf_dir)
+    hits = unstemmed_hits(spark, sf_dir)
+    nothing = hits.where("false").select("query_id", "file_id", "path", "kind", "chunk_id", "page_number", F.lit("").alias("text"), F.lit(0.0).alias("score"))
+    found = hybrid.fuse(nothing, hits, names.search(files, documents, asked), asked, with_model=False, limit=20)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "result_id", "filename", "kind", "label")
+
+
+CONV_HASH = HASHED.replace("FROM documents", "FROM (SELECT conv_id * 1000 + turn AS id, text FROM conversations)")
+
+
+@query(f"""WITH hd AS (SELECT id, bucket, count(*) AS n FROM ({CONV_HASH}) GROUP BY ALL), hq AS (SELECT id AS query_id, bucket, count(*) AS n FROM ({HASHED.replace("FROM documents", "FROM (SELECT item_id AS id, text FROM benchmark)")}) GROUP BY ALL),
+ud AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS x FROM hd), uq AS (SELECT query_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY query_id)) AS x FROM hq),
+hs AS (SELECT query_id, id AS chunk_id, round(sum(ud.x * uq.x), 9) AS sim FROM ud JOIN uq USING (bucket) WHERE id % 3 <> 0 GROUP BY ALL),
+hk AS (SELECT *, max(sim) OVER (PARTITION BY query_id) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, chunk_id) AS c FROM hs) WHERE c <= 200),
+sm AS (SELECT *, chunk_id // 1000 AS file_id, round(sim, 6) AS s FROM hk WHERE CAST(sim AS FLOAT) >= CAST(0.55 AS FLOAT) AND CAST(sim AS FLOAT) >= CAST(best AS FLOAT) - CAST(0.06 AS FLOAT))
+SELECT query_id, file_id, chunk_id, CAST(chunk_id % 1000 + 1 AS INTEGER) AS page_number FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file_id ORDER BY sim DESC, chunk_id) AS n FROM sm) WHERE n = 1""")
+def semantic_files(spark, sf_dir):
+    """Search by meaning over the turns of conversations: of each conversation the turn that is nearest. Vectors of another
+    model, or of another length, are passed over."""
+    pages, docs, asked = b.pages(spark, sf_dir), b.page_documents(spark, sf_dir), b.queries(spark, sf_dir)
+    embedder = vectors.HashEmbedder()
+    other = F.col("chunk_id") % 3 == 0
+    vector = embedder.embed(F.col("text"))
+    stored = pages.select("chunk_id", F.when(other & (F.col("chunk_id") % 2 == 0), "other").otherwise(embedder.model).alias("model"), F.when(other & (F.col("chunk_id") % 2 == 1), F.slice(vector, 1, 8)).otherwise(vector).alias("embedding"))
+    rounded = stored.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    files = docs.select("file_id", F.lit("/").alias("path"), F.lit("text").alias("kind"))
+    found = semantic.search(rounded, pages, docs, files, asked.select("query_id", embedder.embed_query(F.col("query")).alias("vector")), embedder.model, embedder.dimensions, digits=6)
+    return found.select("query_id", "file_id", "chunk_id", "page_number")
+
+
 @query()
 def hybrid_search(spark, sf_dir):
     """All three signals, stemmed, with the hash embedder's vectors."""
@@ -456,6 +521,28 @@ def format_bytes(spark, sf_dir):
     return b.table(spark, sf_dir, "documents").select("doc_id", text.format_bytes(F.col("n_chars") * k * k * k * 7).alias("size"))
 
 
+@query(r"""WITH t AS (SELECT doc_id, '  ' || replace(replace(text, chr(10), '  ' || chr(10) || chr(10) || chr(9) || chr(10) || chr(10)), '. ', '.' || chr(9) || chr(10)) || chr(10) AS x FROM documents)
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(x, '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10))) AS digest FROM t""")
+def pdf_tidy(spark, sf_dir):
+    """Texts with trailing blanks and runs of blank lines, tidied as a PDF's pages are."""
+    messy = F.concat(F.lit("  "), F.replace(F.replace("text", F.lit("\n"), F.lit("  \n\n\t\n\n")), F.lit(". "), F.lit(".\t\n")), F.lit("\n"))
+    return b.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.tidy_pdf(messy)).alias("digest"))
+
+
+@query("SELECT doc_id, format('{:,}', n_chars * n_chars * 37) AS shown, format('{:,}', n_chars % 4) || CASE WHEN n_chars % 4 = 1 THEN ' file' ELSE ' files' END AS files FROM documents")
+def format_counts(spark, sf_dir):
+    n = F.col("n_chars")
+    return b.table(spark, sf_dir, "documents").select("doc_id", text.format_count(n * n * 37).alias("shown"), text.plural(n % 4, "file").alias("files"))
+
+
+@query("WITH m AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN ts - INTERVAL 80 YEAR WHEN event_id % 11 <> 0 THEN ts END AS at_time FROM events) SELECT event_id, CASE WHEN epoch_us(at_time) >= 0 THEN epoch_us(at_time) // 1000 END AS millis, coalesce(strftime(at_time, '%b ') || day(at_time) || ', ' || year(at_time), '—') AS shown FROM m")
+def event_times(spark, sf_dir):
+    """Milliseconds, none before 1970, and the date as it is shown."""
+    e = F.col("event_id")
+    at = F.when(e % 7 == 0, F.col("ts") - F.expr("INTERVAL 80 YEAR")).when(e % 11 != 0, F.col("ts")).cast("timestamp")
+    return b.table(spark, sf_dir, "events").select("event_id", text.unix_millis(at).alias("millis"), text.format_date(at).alias("shown"))
+
+
 @query(f"WITH {FILES} SELECT file_id, kind, CASE extension WHEN 'pdf' THEN 'application/pdf' WHEN 'txt' THEN 'text/plain' WHEN 'md' THEN 'text/markdown' WHEN 'png' THEN 'image/png' ELSE 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' END AS mime FROM files")
 def file_kinds(spark, sf_dir):
     files = b.files(spark, sf_dir)
@@ -550,6 +637,18 @@ def location_nesting(spark, sf_dir):
     return incremental.nesting(own, asked).select("candidate", "verdict", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
+@query(f"""WITH {FILES}, l AS (SELECT DISTINCT location_id AS id, '/src' || location_id AS path FROM files), c AS (SELECT DISTINCT CASE WHEN doc_id % 4 = 0 THEN '/' || source WHEN doc_id % 4 = 1 THEN '/' || source || '/' || doc_id WHEN doc_id % 4 = 2 THEN '/new' || doc_id ELSE '/' || source || '-old' END AS candidate FROM documents UNION ALL SELECT '/'),
+p AS (SELECT candidate, id, CASE WHEN candidate = path THEN 0 WHEN starts_with(candidate, path || '/') THEN 1 ELSE 2 END AS v FROM c LEFT JOIN l ON candidate = path OR starts_with(candidate, path || '/') OR candidate = '/')
+SELECT candidate, ['already_added', 'inside_existing', 'replaces', 'new'][min(CASE WHEN id IS NULL THEN 3 ELSE v END) + 1] AS verdict, CASE WHEN count(id) = 0 THEN '' ELSE string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) END AS ids FROM p GROUP BY candidate""")
+def location_conflicts(spark, sf_dir):
+    """What adding folders of every kind would do beside the locations there are."""
+    own = b.files(spark, sf_dir).select(F.col("location_id").alias("id")).distinct().withColumn("path", F.concat(F.lit("/src"), F.col("id").cast("string"), F.lit("/")))
+    d, root = F.col("doc_id"), F.concat(F.lit("/"), "source")
+    asked = b.table(spark, sf_dir, "documents").select(F.when(d % 4 == 0, root).when(d % 4 == 1, F.concat(root, F.lit("/"), d.cast("string"))).when(d % 4 == 2, F.concat(F.lit("/new"), d.cast("string"))).otherwise(F.concat(root, F.lit("-old"))).alias("path")).distinct()
+    found = incremental.nesting(own, asked.unionByName(spark.createDataFrame([("/",)], "path string")))
+    return found.select("candidate", "verdict", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
 # --- streams and calibration -------------------------------------------------------------------
 
 
