@@ -10,7 +10,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from test_filter_audit import brute as brute_audit
 from test_kneser_ney import brute as brute_model
+from test_repair import brute as brute_repair
 from test_selection_operators import brute_targets, brute_top, size
 from test_selection_operators import plain_set as plain_chains
 from test_simhash import brute as brute_components
@@ -21,7 +23,7 @@ from test_warc import expected as expected_captures
 import __spark_entry__
 from gleaner.llm import queries
 
-TABLES = ("documents", "pages", "conversations", "embeddings")
+TABLES = ("documents", "pages", "conversations", "embeddings", "labels")
 ODD_DOCS = [(9001, None, None, None), (9002, "", "en", "src"), (9003, " \t\n", None, "src"), (9004, "one", "en", None), (9005, "long words here " * 9000, "en", "src"), (9006, "12 !? 😀", "fr", "é"), (9007, "one", "en", None)]
 
 
@@ -34,6 +36,7 @@ def folder(spark, sf, tmp_path_factory):
         "documents": spark.createDataFrame([(*r, None) for r in ODD_DOCS], "doc_id long, text string, lang string, source string, n_chars long"),
         "pages": spark.createDataFrame([(9001, None, None), (9002, "http://x/", ""), (9003, "http://x/", "z" * 1000), (9004, "http://x/", "z" * 1000), (9005, "u", "é" * 99999)], "page_id long, url string, html string"),
         "conversations": spark.createDataFrame([(9001, 0, "user", None), (9001, 1, "assistant", "<|end|>\\"), (9002, 3, "assistant", "b"), (9002, 1, "user", "a")], "conv_id long, turn long, role string, text string"),
+        "labels": spark.createDataFrame([(9001, 1, 1), (9001, 0, None), (9005, 1, 1), (9007, 1, 0), (None, 1, 1), (77777, 1, 1)], "doc_id long, quality int, toxic int"),
         "embeddings": spark.createDataFrame([(9000, None, 1), (9050, [float("nan")] * 4, 1)], "vec_id long, embedding array<float>, label int"),
     }
     for t in TABLES:
@@ -165,6 +168,29 @@ def test_op10(spark, folder, docs):
     assert by_id(rows_of(spark, folder, "op10_mixing", columns)) == got
 
 
+def test_op11(spark, folder, docs):
+    got = by_id(rows_of(spark, folder, "op11_toxicity", {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}))
+    assert got.keys() == {k for k, *_ in docs}
+    for k, (held_out, score, predicted) in got.items():
+        assert held_out == (zlib.crc32(str(k).encode()) % 4 == 2) and 0 <= score <= 1 and predicted == int(score >= 0.3)
+    assert got[9004][1] == got[9007][1] and got[9001][1] == got[9002][1]
+
+
+def test_op12(spark, folder):
+    columns = {"conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint", "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string"}
+    groups = {}
+    for r in spark.read.parquet(f"{folder}/conversations.parquet").collect():
+        groups.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    assert by_id(rows_of(spark, folder, "op12_repair", columns)) == {k: brute_repair((k, v)) for k, v in groups.items()}
+
+
+def test_op13(spark, folder, docs):
+    columns = {"part": "string", "filter_order": "string", "step": "int", "kept": "bigint", "removed": "bigint", "redundant": "bigint", "unique_fails": "bigint", "good_lost": "bigint", "toxic_lost": "bigint", "shapley": "bigint"}
+    labels = [(r.doc_id, r.quality, r.toxic) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()]
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in rows_of(spark, folder, "op13_filter_audit", columns)}
+    assert got == brute_audit([(k, t, s) for k, t, _, s in docs], labels)
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_empty_tables(spark, sf, tmp_path, name):
     for t in TABLES:

@@ -54,5 +54,5 @@ def test_stages_on_odd_rows(spark, sf):
 
 
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
