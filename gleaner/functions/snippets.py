@@ -18,35 +18,79 @@ def _merge(parts: list[tuple[str, bool]]) -> list[dict]:
     return [{"text": t, "highlight": h} for t, h in parts if t]
 
 
+#: Fixed values of the window's worth: a term's first hit, each further one, a window that starts with the text or a sentence.
+FIRST_HIT, MORE_HITS, AT_TEXT, AT_SENTENCE = 1000, 1, 120, 100
+
+
+def _worth(hits: list[tuple[int, int, int]], at: int, size: int) -> tuple[int, int, int]:
+    """(worth, first token, end of the last hit) of the hits that begin in the window at a token."""
+    worth, seen, first, last = 0, set(), -1, -1
+    for a, b, which in hits:
+        if at <= a < at + size:
+            worth += MORE_HITS if which in seen else FIRST_HIT
+            seen.add(which)
+            first, last = a if first < 0 else first, b
+    return worth, first, last
+
+
+def _sentences(text: str, spans: list[tuple[int, int]]) -> list[int]:
+    """Tokens that begin a sentence: the first, and each after a full stop or colon and white space."""
+    found = [0] if spans else []
+    for k in range(1, len(spans)):
+        end = spans[k][0]
+        before = text[spans[k - 1][1] : end]
+        bare = before.rstrip(" \t\n\r")
+        if len(bare) < len(before) and bare[-1:] in (".", ":") and bare:
+            found.append(k)
+    return found
+
+
+def _window(text: str, spans: list[tuple[int, int]], hits: list[tuple[int, int, int]], size: int) -> int:
+    """The window's first token: of those centred on what follows a hit, and those that start the hit's sentence, the
+    one worth most; of equals the first."""
+    total, best, start = len(spans), 0, 0
+    sentences = _sentences(text, spans) if total > size else []
+    for a, _, _ in hits:
+        worth, first, last = _worth(hits, a, size)
+        if worth > best:
+            best, start = worth, max(0, min(first - int((size - (last - first)) / 2), total - size))
+        if sentences:
+            own = max((s for s in sentences if s <= a), default=0)
+            if own < a:
+                worth = _worth(hits, own, size)[0] + (AT_SENTENCE if own else AT_TEXT)
+                if worth > best:
+                    best, start = worth, own
+    return start
+
+
 def snippet(text: str, terms: list[list[str]], size: int = SNIPPET_TOKENS) -> list[dict]:
-    """``terms``: stems of each term. The window with the most distinct terms (of equals the first) is centred on
-    what it holds; a phrase is one highlighted part; an ellipsis marks a cut side."""
-    found = list(_TOKEN.finditer(text))
-    stems = [stem(m[0].lower()) for m in found]
+    """The window of ``size`` tokens that shows most of a search, as a full-text index cuts it. ``terms``: stems of each
+    term. A phrase is one highlighted part, hits that overlap are one, an ellipsis marks a cut side."""
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    stems = [stem(text[a:b].lower()) for a, b in spans]
     hits = []
     for which, term in enumerate(terms):
         for k in range(len(stems) - len(term) + 1):
             if term and stems[k : k + len(term)] == term:
                 hits.append((k, k + len(term), which))
-    hits.sort()
-    low, high = 0, len(found)
-    if len(found) > size:
-        best = (0, 0, 0, min(size, len(found)))
-        for a, _, _ in hits:
-            inside = [h for h in hits if a <= h[0] and h[1] <= a + size]
-            if inside and len({h[2] for h in inside}) > best[0]:
-                best = (len({h[2] for h in inside}), 0, a, max(h[1] for h in inside))
-        middle = (best[2] + best[3]) // 2 if best[0] else size // 2
-        low = max(0, min(middle - size // 2, len(found) - size))
-        high = low + size
-    start = 0 if low == 0 else found[low].start()
-    end = len(text) if high >= len(found) else found[high - 1].end()
-    parts, at, until = [("…", False)] if start else [], start, -1
+    hits.sort(key=lambda h: (h[0], h[2]))
+    low = _window(text, spans, hits, size)
+    high = min(low + size, len(spans))
+    merged: list[list[int]] = []
     for a, b, _ in hits:
-        if a >= low and b <= high and a >= until:
-            parts += [(text[at : found[a].start()], False), (text[found[a].start() : found[b - 1].end()], True)]
-            at, until = found[b - 1].end(), b
-    parts.append((text[at:end] + ("…" if end < len(text) else ""), False))
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    start = spans[low][0] if low else 0
+    end = len(text) if high >= len(spans) else spans[high - 1][1]
+    parts, at = [("…" if low else "", False)], start
+    for a, b in merged:
+        a, b = max(a, low), min(b, high)
+        if a < b:
+            parts += [(text[at : spans[a][0]], False), (text[spans[a][0] : spans[b - 1][1]], True)]
+            at = spans[b - 1][1]
+    parts.append((text[at:end] + ("…" if high < len(spans) else ""), False))
     joined: list[tuple[str, bool]] = []
     for t, h in parts:
         if joined and not h and not joined[-1][1]:
