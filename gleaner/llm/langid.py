@@ -8,9 +8,9 @@ phrase occurs; the lowest cost wins, ties to the smaller label.
 Symbols: lower-cased letters, each run of other characters one separator. The most frequent letters
 of the samples have symbols of their own, all others share a few.
 
-Whole texts are parsed, in blocks of ``BLOCK`` symbols of which each starts a new phrase; the blocks
-of a batch advance together, one table lookup a symbol and language, so a very long text is many
-blocks of even length. The map has no shuffle.
+Whole texts are parsed, in blocks of ``BLOCK`` symbols that advance together, one table lookup a symbol and
+language, so a very long text is many blocks of even length. Then phrases are stitched over the blocks'
+borders, so counts are those of one parse from first to last symbol. The map has no shuffle.
 
 Training rows: ``docs_per_language`` rows of each label with the smallest hash of their id, of each
 up to ``chars_per_doc`` code points from the middle of the text: a bounded sample, which alone goes
@@ -118,21 +118,54 @@ class Model:
         order = np.argsort(-width, kind="stable")
         owner, start, width = owner[order], start[order], width[order]
         active = np.searchsorted(-width, -np.arange(BLOCK), side="left")  # blocks wider than each step
-        state = np.empty((len(self.languages), len(owner)), np.int32)
-        ended = np.zeros(state.shape, np.int32)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        follows = np.flatnonzero(k > 0)  # blocks that go on from the one before
+        before, after = place[follows - 1], place[follows]
         for lang, automaton in enumerate(self.automata):
-            state[lang] = automaton.before
-        for step in range(int(width[0]) if len(width) else 0):
-            n = active[step]
-            now = symbols[start[:n] + step]
-            for lang, automaton in enumerate(self.automata):
-                to = automaton.table.take(state[lang, :n] + now)
-                ended[lang, :n] += to >> 30
-                state[lang, :n] = to & (Automaton.RESTART - 1)
-        for lang in range(len(self.languages)):
-            counts[:, lang] = np.bincount(owner, ended[lang], len(texts)).astype(np.int64)
+            state = np.full(len(owner), automaton.before, np.int32)
+            begins = np.zeros((int(width[0]) if len(width) else 0, len(owner)), bool)  # whether a phrase begins, by step and block
+            for step in range(len(begins)):
+                n = active[step]
+                to = automaton.table.take(state[:n] + symbols[start[:n] + step])
+                begins[step, :n] = to >> 30
+                state[:n] = to & (Automaton.RESTART - 1)
+            phrases = begins.sum(axis=0) + self.stitched(automaton, symbols, start, width, begins, state, before, after)
+            counts[:, lang] = np.bincount(owner, phrases, len(texts)).astype(np.int64)
         return sizes, counts
 
+    @staticmethod
+    def stitched(automaton: Automaton, symbols: np.ndarray, start: np.ndarray, width: np.ndarray, begins: np.ndarray, ends: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """By block, how many phrases more (or fewer) it has if the open phrase of the block before goes on in it, so that no
+        phrase ends with a block. A phrase that goes on is followed until it ends where one of the block's own phrases
+        begins: from there on, both are the same. A block that it crosses as a whole hands its own end on to the next."""
+        more, final, due = np.zeros(len(start), np.int64), ends.copy(), np.arange(len(before))
+        nth = np.full(len(start), -1)
+        nth[before] = np.arange(len(before))  # the pair whose first block this is
+        while len(due):
+            block, state = after[due], final[before[due]]
+            extra, open_, to_end = np.zeros(len(due), np.int64), np.arange(len(due)), ends[block].copy()
+            for step in range(len(begins)):
+                over = width[block[open_]] <= step
+                to_end[open_[over]] = state[open_[over]]
+                open_ = open_[~over]
+                if not len(open_):
+                    break
+                now = block[open_]
+                to = automaton.table.take(state[open_] + symbols[start[now] + step])
+                state[open_] = to & (Automaton.RESTART - 1)
+                went, own = (to >> 30).astype(bool), begins[step, now]
+                same = went & own
+                extra[open_] += np.where(same, 0, went.astype(np.int64) - own)
+                open_ = open_[~same]
+            to_end[open_] = state[open_]
+            more[block] = extra
+            changed = block[to_end != final[block]]
+            final[block] = to_end
+            due = nth[changed]
+            due = due[due >= 0]
+        return more
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         sizes, counts = self.phrases(texts)
         if not self.languages:

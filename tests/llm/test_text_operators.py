@@ -98,13 +98,11 @@ SAMPLES = (("en", ("the cat sat on the mat and the dog", "with that of the and")
 
 def plain_phrases(model, samples, text):
     sample, rest, count = model.symbols(" ".join(samples)).tobytes(), model.symbols(text).tobytes(), 0
-    for at in range(0, len(rest), langid.BLOCK):
-        block = rest[at : at + langid.BLOCK]
-        while block:
-            k = 1
-            while k < len(block) and block[: k + 1] in sample:
-                k += 1
-            block, count = block[k:], count + 1
+    while rest:
+        k = 1
+        while k < len(rest) and rest[: k + 1] in sample:
+            k += 1
+        rest, count = rest[k:], count + 1
     return count
 
 
@@ -116,6 +114,17 @@ def test_phrases_are_the_longest_matches():
         assert row == [plain_phrases(model, s, t or "") for _, s in SAMPLES], t
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 64])
+def test_phrases_cross_blocks(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    model = langid.model_of(SAMPLES)
+    # Texts that are in a sample as a whole: one phrase over many blocks.
+    texts = [SAMPLES[0][1][0], SAMPLES[1][1][0][5:], SAMPLES[0][1][0] * 3, "the chat", "", *odd_texts(40, 6, "q")]
+    _, counts = model.phrases(texts)
+    for t, row in zip(texts, counts.tolist()):
+        assert row == [plain_phrases(model, s, t or "") for _, s in SAMPLES], t
+
+
 def test_language_id_of_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     samples = langid.learn(docs)
