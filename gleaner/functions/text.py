@@ -207,12 +207,27 @@ def tidy_pdf(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), rf"^{SPACE}+|{SPACE}+$", "")
 
 
-def scan_summary(state: Column, found: Column, read: Column, embedded: Column, to_read: Column, to_embed: Column) -> Column:
+def index_summary(files: Column, read: Column, failed: Column) -> Column:
+    """What the index holds of a folder."""
+    part = lambda n, words: F.when(n > 0, F.concat(format_count(n), F.lit(words)))
+    return F.array_join(F.filter(F.array(plural(files, "file"), part(read, " read"), part(failed, " couldn't be read")), lambda p: p.isNotNull()), " · ")
+
+
+def scan_summary(state: Column, found: Column, processed: Column, read: Column, to_read: Column, embedded: Column, to_embed: Column, error: Column, files: Column, files_read: Column, files_failed: Column) -> Column:
+    """One line on a folder: the step that its scan is at, otherwise what the index holds. The sentences."""
+    of = lambda verb, n, total, what: F.concat(F.lit(f"{verb} "), format_count(n), F.lit(" of "), plural(total, what))
     return (
-        F.when(state == "discovering", F.concat(F.lit("Looking for files… "), format_count(found)))
-        .when(state == "hashing", F.lit("Checking for changes…"))
-        .when(state == "reading", F.concat(F.lit("Reading "), format_count(read), F.lit(" of "), format_count(to_read)))
-        .when(state == "embedding", F.concat(F.lit("Learning meanings "), format_count(embedded), F.lit(" of "), format_count(to_embed)))
-        .when(state == "done", F.lit("Up to date"))
-        .otherwise(F.lit("Failed"))
+        F.when(state == "discovering", F.concat(F.lit("Looking for files… "), plural(found, "file"), F.lit(" found")))
+        .when(state == "hashing", of("Checking", processed, found, "file"))
+        .when(state == "reading", of("Reading", read, to_read, "document"))
+        .when(state == "embedding", of("Understanding", embedded, to_embed, "passage"))
+        .when(state == "failed", F.coalesce(error, F.lit("Scanning failed.")))
+        .when(state.isNotNull() | (files > 0), index_summary(files, files_read, files_failed))
+        .otherwise("Waiting to scan")
     )
+
+
+def scan_percent(state: Column, found: Column, processed: Column, read: Column, to_read: Column, embedded: Column, to_embed: Column) -> Column:
+    """0 to 100 of the step that runs; null while its size is not known."""
+    share = lambda n, total: F.when(total > 0, n / F.nullif(total, F.lit(0)) * 100)
+    return F.when(state == "done", F.lit(100.0)).when(state == "hashing", share(processed, found)).when(state == "reading", share(read, to_read)).when(state == "embedding", share(embedded, to_embed))

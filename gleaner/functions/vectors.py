@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import abc
+import os
 import functools
 from collections.abc import Iterator
 
@@ -120,6 +121,30 @@ class HashEmbedder(Embedder):
         return hash_embedding(text)
 
 
+#: Names the folder of models, before those beside the package and below the working directory.
+MODELS_VARIABLE = "GLEANER_MODELS"
+
+
+def model_folders() -> list[str]:
+    """Where models are looked for, first to last."""
+    named = os.environ.get(MODELS_VARIABLE)
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    return [*([named] if named else []), os.path.join(package, "models"), os.path.join(os.getcwd(), "models")]
+
+
+def find_model(name: str, files: tuple[str, ...], folders: list[str] | None = None) -> tuple[str | None, str | None]:
+    """(folder, None) of the first place that holds all of a model's files, or (None, why not)."""
+    folders = model_folders() if folders is None else folders
+    for folder in folders:
+        at = os.path.join(folder, name)
+        if all(os.path.isfile(os.path.join(at, f)) for f in files):
+            return at, None
+    held = next((f for f in folders if os.path.isdir(os.path.join(f, name))), None)
+    if held is None:
+        return None, f"no model {name} in {', '.join(folders)}"
+    return None, f"missing {', '.join(f for f in files if not os.path.isfile(os.path.join(held, name, f)))} in {os.path.join(held, name)}"
+
+
 class OnnxEmbedder(Embedder):
     """A 384-dimensional sentence model run by onnxruntime, from a folder with ``model.onnx`` and ``tokenizer.json``:
     the first token's vector of at most 512 tokens, normalised; queries carry the model's prefix."""
@@ -127,13 +152,16 @@ class OnnxEmbedder(Embedder):
     model, dimensions = "bge-small-en-v1.5", 384
     QUERY = "Represent this sentence for searching relevant passages: "
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    FILES = ("model.onnx", "tokenizer.json")
 
-    def available(self) -> tuple[bool, str | None]:
-        import os
+    def __init__(self, folder: str | None = None):
+        """``folder`` holds the model's files; by default it is looked for."""
+        self.folder, self.reason = (folder, None) if folder is not None else find_model(self.model, self.FILES)
 
-        missing = [f for f in ("model.onnx", "tokenizer.json") if not os.path.exists(os.path.join(self.folder, f))]
+    def available(self) -> tuple[bool, str | None]:
+        if self.folder is None:
+            return False, self.reason
+        missing = [f for f in self.FILES if not os.path.exists(os.path.join(self.folder, f))]
         return not missing, f"missing {', '.join(missing)} in {self.folder}" if missing else None
 
     def embed(self, text: Column) -> Column:

@@ -535,6 +535,26 @@ def format_counts(spark, sf_dir):
     return b.table(spark, sf_dir, "documents").select("doc_id", text.format_count(n * n * 37).alias("shown"), text.plural(n % 4, "file").alias("files"))
 
 
+STATUS = "st AS (SELECT doc_id, ['discovering', 'hashing', 'reading', 'embedding', 'done', 'failed'][doc_id % 7 + 1] AS state, n_chars AS found, n_chars // 2 AS part, n_chars % 3 AS few FROM documents)"
+
+
+@query(f"""WITH {STATUS}, s AS (SELECT *, format('{{:,}}', found) || CASE WHEN found = 1 THEN ' ' ELSE 's ' END AS f, format('{{:,}}', part) AS p, format('{{:,}}', few) AS w FROM st)
+SELECT doc_id, CASE state WHEN 'discovering' THEN 'Looking for files… ' || format('{{:,}}', found) || CASE WHEN found = 1 THEN ' file' ELSE ' files' END || ' found'
+  WHEN 'hashing' THEN 'Checking ' || p || ' of ' || format('{{:,}}', found) || CASE WHEN found = 1 THEN ' file' ELSE ' files' END
+  WHEN 'reading' THEN 'Reading ' || p || ' of ' || w || CASE WHEN few = 1 THEN ' document' ELSE ' documents' END
+  WHEN 'embedding' THEN 'Understanding ' || w || ' of ' || format('{{:,}}', found) || CASE WHEN found = 1 THEN ' passage' ELSE ' passages' END
+  WHEN 'failed' THEN CASE WHEN few = 0 THEN 'Scanning failed.' ELSE 'disk full' END
+  ELSE CASE WHEN state IS NULL AND few = 0 THEN 'Waiting to scan' ELSE w || CASE WHEN few = 1 THEN ' file' ELSE ' files' END || CASE WHEN part > 0 THEN ' · ' || p || ' read' ELSE '' END || CASE WHEN few > 1 THEN ' · ' || w || ' couldn''t be read' ELSE '' END END END AS line,
+ round(CASE state WHEN 'done' THEN 100 WHEN 'hashing' THEN CASE WHEN found > 0 THEN part / found * 100 END WHEN 'reading' THEN CASE WHEN few > 0 THEN part / few * 100 END WHEN 'embedding' THEN CASE WHEN found > 0 THEN few / found * 100 END END, 6) AS percent FROM s""")
+def scan_lines(spark, sf_dir):
+    """What is shown of scans in every state, with counts of every size."""
+    n = F.col("n_chars")
+    half, few = F.floor(n / 2), n % 3
+    state = F.get(F.array(*map(F.lit, ("discovering", "hashing", "reading", "embedding", "done", "failed"))), (F.col("doc_id") % 7).cast("int"))
+    line = text.scan_summary(state, n, half, half, few, few, n, F.when(few != 0, "disk full"), few, half, F.when(few > 1, few).otherwise(0))
+    return b.table(spark, sf_dir, "documents").select("doc_id", line.alias("line"), F.round(text.scan_percent(state, n, half, half, few, few, n), 6).alias("percent"))
+
+
 @query("WITH m AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN ts - INTERVAL 80 YEAR WHEN event_id % 11 <> 0 THEN ts END AS at_time FROM events) SELECT event_id, CASE WHEN epoch_us(at_time) >= 0 THEN epoch_us(at_time) // 1000 END AS millis, coalesce(strftime(at_time, '%b ') || day(at_time) || ', ' || year(at_time), '—') AS shown FROM m")
 def event_times(spark, sf_dir):
     """Milliseconds, none before 1970, and the date as it is shown."""

@@ -139,3 +139,19 @@ def test_hash_embedding(spark):
         counts[fnv(w)] += 1
     norm = sum(c * c for c in counts) ** 0.5
     assert got == pytest.approx([c / norm for c in counts])
+
+
+def test_models_are_looked_for_in_order(tmp_path, monkeypatch):
+    first, second = tmp_path / "a", tmp_path / "b"
+    for folder, held in ((first, ("model.onnx",)), (second, ("model.onnx", "tokenizer.json"))):
+        (folder / "m").mkdir(parents=True)
+        for f in held:
+            (folder / "m" / f).write_text("")
+    want = ("model.onnx", "tokenizer.json")
+    assert vectors.find_model("m", want, [str(first), str(second)]) == (str(second / "m"), None)
+    assert vectors.find_model("m", want, [str(first)]) == (None, f"missing tokenizer.json in {first / 'm'}")
+    assert vectors.find_model("other", want, [str(first)])[1].startswith("no model other")
+    monkeypatch.setenv(vectors.MODELS_VARIABLE, str(second))
+    assert vectors.model_folders()[0] == str(second)
+    ready, reason = vectors.OnnxEmbedder().available()
+    assert not ready and "no model bge-small-en-v1.5" in reason
