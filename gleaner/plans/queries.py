@@ -575,12 +575,45 @@ def path_order(spark, sf_dir):
     return ordering.with_place(rows, F.col("parts"), F.col("file_id")).select("file_id", "place")
 
 
-@query()
+def _border(at: str) -> str:
+    """The last code point border at or before a byte."""
+    inner = lambda k: f"substr(p, ({at}) + 1 - {k}, 1) = chr(1)"
+    return f"({at}) - CASE WHEN {inner(0)} THEN CASE WHEN {inner(1)} THEN CASE WHEN {inner(2)} THEN 3 ELSE 2 END ELSE 1 END ELSE 0 END"
+
+
+def _cut(source: str) -> str:
+    """Passages that start at byte ``s`` of padded texts ``p`` of ``n`` bytes: where they end (``e``) and the next starts."""
+    breaks = ["chr(10) || chr(10)", "chr(10)", "' .'", "' ?'", "' !'", "' '"]
+    at = " ".join(f"WHEN strpos(w, {b}) > 0 THEN e0 - strpos(w, {b}) + 1" for b in breaks)
+    inner = f"SELECT *, {_border('least(n, s + 1000)')} AS e0, s + 1 + length(regexp_extract(substr(p, s + 2, 3), '^\\x01*')) AS s1 FROM {source}"
+    inner = f"SELECT *, reverse(substr(p, greatest({_border('e0 - 300')}, 0) + 1, e0 - greatest({_border('e0 - 300')}, 0))) AS w FROM ({inner})"
+    inner = f"SELECT *, CASE WHEN e0 >= n THEN n {at} ELSE e0 END AS e FROM ({inner})"
+    inner = f"SELECT *, greatest({_border('e - 150')}, s1) AS lead FROM ({inner})"
+    return f"SELECT document_id, p, n, s, e, greatest(lead + length(regexp_extract(substr(p, lead + 1, e - lead), '^\\S*')), s1) AS next FROM ({inner})"
+
+
+#: A text in which each code point is followed by a chr(1) for every byte beyond its first, so that places are bytes.
+PADDED = "regexp_replace(regexp_replace(regexp_replace(text, '([\\x{80}-\\x{7FF}])', '\\1' || chr(1), 'g'), '([\\x{800}-\\x{FFFF}])', '\\1' || chr(1) || chr(1), 'g'), '([\\x{10000}-\\x{10FFFF}])', '\\1' || chr(1) || chr(1) || chr(1), 'g')"
+CHUNKS = f"""pt AS (SELECT doc_id AS document_id, {PADDED} AS p FROM documents),
+walk AS (SELECT document_id, p, length(p) AS n, CAST(0 AS BIGINT) AS s FROM pt WHERE p <> '' UNION ALL SELECT document_id, p, n, next AS s FROM ({_cut("walk")}) WHERE e < n AND next < n),
+cuts AS (SELECT document_id, p, s, length(regexp_extract(substr(p, s + 1, e - s), '^\\s*')) AS a, length(regexp_extract(substr(p, s + 1, e - s), '\\s*$')) AS z, e FROM ({_cut("walk")})),
+spans AS (SELECT document_id, s, length(replace(substr(p, 1, s + a), chr(1), '')) AS char_start, replace(substr(p, s + a + 1, e - z - s - a), chr(1), '') AS text FROM cuts WHERE a < e - s),
+passages AS (SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY s) - 1 AS INTEGER) AS chunk_index, text, CAST(NULL AS INTEGER) AS page_number, CAST(char_start AS INTEGER) AS char_start, CAST(char_start + length(text) AS INTEGER) AS char_end FROM spans)"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT * FROM passages")
 def chunk_pages(spark, sf_dir):
     docs = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.array(F.struct(F.lit(None).cast("int").alias("number"), "text")).alias("pages"))
     return chunking.chunks_of(docs)
 
 
+@query(f"WITH RECURSIVE {CHUNKS}, ch AS (SELECT document_id * 1000 + chunk_index AS chunk_id, document_id, text FROM passages), {TERMS}, {BM25} SELECT query_id, document_id, chunk_id, bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY bm25, chunk_id) AS k FROM sc JOIN ch USING (chunk_id)) WHERE k = 1")
+def passage_search(spark, sf_dir):
+    """Documents cut into passages, indexed and searched: of each document its best passage for each search."""
+    chunks = written(chunk_pages(spark, sf_dir).select((F.col("document_id") * 1000 + F.col("chunk_index")).alias("chunk_id"), "document_id", "text"), "passages")
+    return keyword.best_passage(scored(spark, sf_dir, chunks.select("chunk_id", "text")), chunks.select("chunk_id", "document_id")).select("query_id", "document_id", "chunk_id", "bm25")
+
+
 @query("SELECT doc_id AS document_id, true AS holds FROM documents")
 def chunk_offsets(spark, sf_dir):
     """Every passage is what its offsets cut from its document, and at most the target in bytes."""
