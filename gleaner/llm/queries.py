@@ -123,6 +123,44 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
 """
 
+#: The four states' best paths as a list, folded over a conversation's rows with whole audits and texts, without a trie.
+REPAIR_SQL = r"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS crc
+), k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), f AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, b: xor(h >> 8, crc[(xor(h, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS fault FROM k, tab
+), a AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy FROM f WHERE fault <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS nr FROM a
+), x AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY nr) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY nr) || left(role, 1) AS pair FROM o
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+    count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+    list({'i': left(role, 1), 'gone': blank OR again, 'extra': CASE WHEN cut THEN 5 ELSE 0 END, 'r': role, 't': text} ORDER BY nr) AS l FROM x GROUP BY conv_id
+), w AS (
+  SELECT *, list_reduce(l, lambda v, y: list_transform(range(4), lambda z: list_sort(list_filter(flatten(list_transform(EXPANDED, lambda e: [
+      {'s': e.s, 'c': e.c + 2, 'a': e.a || 'D', 't': e.t},
+      {'s': CASE WHEN y.gone THEN 9 WHEN e.s = 2 THEN 3 ELSE 2 END, 'c': e.c + 1 + y.extra, 'a': e.a || 'R', 't': e.t || CASE WHEN e.s = 2 THEN 'assistant:' ELSE 'user:' END || y.t || chr(10)},
+      {'s': CASE WHEN y.gone THEN 9 WHEN y.i = 's' AND e.s = 0 THEN 1 WHEN y.i = 'u' AND e.s <> 2 THEN 2 WHEN y.i = 'a' AND e.s = 2 THEN 3 ELSE 9 END, 'c': e.c + y.extra, 'a': e.a || 'K', 't': e.t || y.r || ':' || y.t || chr(10)}
+    ])), lambda q: q.s = z AND q.c IS NOT NULL))[1]), [{'s': 0, 'c': 0, 'a': '', 't': ''}, NULL, NULL, NULL]) AS v FROM g
+), e AS (
+  SELECT *, list_sort(list_transform(list_filter(EXPANDED, lambda q: q.c IS NOT NULL AND q.s IN (0, 3)), lambda q: {'c': q.c, 'a': q.a, 't': q.t}))[1] AS b FROM w
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit, sha256(regexp_replace(coalesce(b.t, ''), '\n\z', '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+""".replace("EXPANDED", """[
+      {'s': 0, 'c': v[1].c, 'a': v[1].a, 't': v[1].t}, {'s': 2, 'c': v[1].c + 5, 'a': v[1].a || 'I', 't': v[1].t || 'user:' || chr(10)}, {'s': 3, 'c': v[1].c + 10, 'a': v[1].a || 'II', 't': v[1].t || 'user:' || chr(10) || 'assistant:' || chr(10)},
+      {'s': 1, 'c': v[2].c, 'a': v[2].a, 't': v[2].t}, {'s': 2, 'c': v[2].c + 5, 'a': v[2].a || 'I', 't': v[2].t || 'user:' || chr(10)}, {'s': 3, 'c': v[2].c + 10, 'a': v[2].a || 'II', 't': v[2].t || 'user:' || chr(10) || 'assistant:' || chr(10)},
+      {'s': 2, 'c': v[3].c, 'a': v[3].a, 't': v[3].t}, {'s': 3, 'c': v[3].c + 5, 'a': v[3].a || 'I', 't': v[3].t || 'assistant:' || chr(10)},
+      {'s': 3, 'c': v[4].c, 'a': v[4].a, 't': v[4].t}, {'s': 2, 'c': v[4].c + 5, 'a': v[4].a || 'I', 't': v[4].t || 'user:' || chr(10)}]""")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -143,4 +181,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": TOP_K_SQL, "op13_filter_audit": FILTER_AUDIT_SQL}
+    return {"op5_exact_top_k": TOP_K_SQL, "op12_repair": REPAIR_SQL, "op13_filter_audit": FILTER_AUDIT_SQL}
