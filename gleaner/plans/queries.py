@@ -69,7 +69,7 @@ def scored(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
     terms = typed_terms(spark, sf_dir)
     words = terms.select(F.explode("words").alias("term"))
     posting = written(keyword.postings(chunks, stemmed=False, only=words), "postings")
-    found = keyword.scores(posting, keyword.chunk_stats(chunks, stemmed=False), terms, written)
+    found = keyword.scores(posting, keyword.chunk_stats(chunks, stemmed=False), terms)
     return found.withColumn("bm25", F.round("bm25", 6))
 
 
@@ -138,7 +138,7 @@ def asked_postings(chunks: DataFrame, asked: DataFrame) -> DataFrame:
 def keyword_stemmed(spark, sf_dir):
     """Stemmed keyword search of the benchmark's texts; held against SQLite's own index in the tests."""
     chunks, files = b.passages(spark, sf_dir), b.files(spark, sf_dir)
-    return keyword.search(asked_postings(chunks, b.queries(spark, sf_dir)), keyword.chunk_stats(chunks), chunks, b.documents(spark, sf_dir), files, b.queries(spark, sf_dir), 20, keep=written)
+    return keyword.search(asked_postings(chunks, b.queries(spark, sf_dir)), keyword.chunk_stats(chunks), chunks, b.documents(spark, sf_dir), files, b.queries(spark, sf_dir), 20)
 
 
 @query()
@@ -476,7 +476,7 @@ def hybrid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     embedder = vectors.HashEmbedder()
     stored = chunks.select("chunk_id", embedder.embed(F.col("text")).alias("embedding"))
     near = semantic.search(stored, chunks, documents, files, asked.select("query_id", embedder.embed_query(F.col("query")).alias("vector")))
-    words = keyword.search(asked_postings(chunks, asked), keyword.chunk_stats(chunks), chunks, documents, files, asked, keep=written)
+    words = keyword.search(asked_postings(chunks, asked), keyword.chunk_stats(chunks), chunks, documents, files, asked)
     return hybrid.fuse(near, words, names.search(files, documents, asked), asked, with_model=True)
 
 
