@@ -7,7 +7,7 @@ from gleaner.operators import names
 from gleaner.plans.queries import QUERIES
 
 
-@pytest.mark.parametrize("name", ["name_match"])
+@pytest.mark.parametrize("name", ["name_match", "name_prefilter_strict"])
 def test_pairs_of_a_query_and_a_file_are_not_shuffled_or_sorted(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query_id" not in plan and "Window" not in plan
