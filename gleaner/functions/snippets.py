@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .stemming import stem
+from .stemming import known_stem, stem
 
 SNIPPET_TOKENS = 24
 PARTS = "array<struct<text:string,highlight:boolean>>"
+ARROW_PARTS = pa.list_(pa.struct([("text", pa.string()), ("highlight", pa.bool_())]))
+#: Texts that are cut at once.
+SLICE = 128
 _TOKEN = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{Mn}]*")
 
 
@@ -67,7 +71,7 @@ def snippet(text: str, terms: list[list[str]], size: int = SNIPPET_TOKENS) -> li
     """The window of ``size`` tokens that shows most of a search, as a full-text index cuts it. ``terms``: stems of each
     term. A phrase is one highlighted part, hits that overlap are one, an ellipsis marks a cut side."""
     spans = [m.span() for m in _TOKEN.finditer(text)]
-    stems = [stem(text[a:b].lower()) for a, b in spans]
+    stems = [known_stem(text[a:b].lower()) for a, b in spans]
     hits = []
     for which, term in enumerate(terms):
         for k in range(len(stems) - len(term) + 1):
@@ -104,9 +108,11 @@ def snippet_column(text: Column, terms: list[str]) -> Column:
     """For the few winners of a search; ``terms`` are the query's."""
     stems = [[stem(w) for w in t.split(" ")] for t in terms]
 
-    @F.pandas_udf(PARTS)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else snippet(t, stems))
+    @F.arrow_udf(PARTS)
+    def run(texts: pa.Array) -> pa.Array:
+        # A slice at a time: texts and parts of a whole batch are never Python objects together.
+        parts = [pa.array([None if t is None else snippet(t, stems) for t in texts.slice(at, SLICE).to_pylist()], ARROW_PARTS) for at in range(0, max(1, len(texts)), SLICE)]
+        return pa.concat_arrays(parts)
 
     return run(text)
 
