@@ -34,7 +34,25 @@ def range_of(chunk_id: Column, bits: int) -> Column:
 def blocks(posting: DataFrame, stats: DataFrame, bits: int) -> DataFrame:
     """(term, range, n, max_tf, min_dl, first, gaps, tfs, dls) of postings (term, chunk_id, tf) and lengths (chunk_id, dl)."""
     rows = posting.select("term", "chunk_id", "tf").join(stats.select("chunk_id", "dl"), "chunk_id")
-    held = rows.groupBy("term", range_of(F.col("chunk_id"), bits).alias("range")).agg(F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("p"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+    return packed(rows.withColumn("range", range_of(F.col("chunk_id"), bits)))
+
+
+def blocks_of(chunks: DataFrame, stats: DataFrame, terms: DataFrame, stemmed: bool = True) -> DataFrame:
+    """The blocks of the asked terms (a phrase's words joined by a blank) from passages without postings: texts are dealt
+    by range once, and a range's blocks are made where its texts are."""
+    passages = stats.count()
+    dealt = chunks.select("chunk_id", "text", range_of(F.col("chunk_id"), range_bits(passages)).alias("range"))
+    dealt = dealt.repartition(tasks_for(passages, terms), "range")
+    return packed(keyword.term_counts(dealt, terms, stemmed, ("range", "chunk_id")))
+
+
+def tasks_for(passages: int, terms: DataFrame) -> int:
+    return keyword.tasks_for(terms.sparkSession, passages * terms.select("query_id").distinct().count())
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Blocks of rows (range, term, chunk_id, tf, dl)."""
+    held = rows.groupBy("term", "range").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("p"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
     gaps = F.transform("p", lambda x, i: F.when(i == 0, F.lit(0).cast("long")).otherwise(x.chunk_id - F.get("p", i - 1).chunk_id))
     return held.select("term", "range", F.size("p").alias("n"), "max_tf", "min_dl", F.get("p", 0).chunk_id.alias("first"), gaps.alias("gaps"), F.transform("p", lambda x: x.tf).alias("tfs"), F.transform("p", lambda x: x.dl).alias("dls"))
 
@@ -60,15 +78,23 @@ def top(block: DataFrame, stats: DataFrame, terms: DataFrame, limit: int, groups
     bounds = block.join(asked.select("term").distinct(), "term", "left_semi").select("term", "range", "n", "max_tf", "min_dl")
     weight = bounds.groupBy("term").agg(F.sum("n").alias("df")).select("term", keyword.idf(F.lit(n), F.col("df")).alias("weight"))
     score = lambda tf, dl: -keyword.bm25(tf, dl, F.lit(avgdl), F.col("weight"))
-    own = asked.join(weight, "term")
+    own = written(asked.join(weight, "term"), "asked")
     held = written(bounds.join(own, "term").groupBy("query_id", "range").agg(F.sum(score(F.col("max_tf"), F.col("min_dl"))).alias("bound"), F.count("*").alias("blocks")), "bounds")
+    tasks = tasks_for(n, terms)
 
     def scored(chosen: DataFrame) -> DataFrame:
-        """Full scores of the passages of (query_id, range)."""
+        """Full scores of the passages of (query_id, range). Blocks and their queries are dealt by range, together, in as
+        many tasks as the pairs of a query and a passage need; these pairs are added up there and never shuffled (a join by
+        term and range would deal by both). A block is decoded once, whatever the number of queries that ask for it."""
         pairs = chosen.select("query_id", "range").join(own, "query_id")
-        # A block is decoded once, whatever the number of queries that ask for it.
-        read = postings_of(block.join(pairs.select("term", "range").distinct(), ["term", "range"], "left_semi"), "term", "range")
-        return read.join(pairs, ["term", "range"]).groupBy("query_id", "chunk_id").agg((-F.sum(score(F.col("tf"), F.col("dl")))).alias("bm25"), F.bit_or("bit").alias("mask"))
+        held = block.join(own.select("term").distinct(), "term", "left_semi").join(chosen.select("range").distinct(), "range", "left_semi")
+        held = held.select("range", "term", F.struct("first", "gaps", "tfs", "dls").alias("block"), F.lit(None).cast(pairs.select(F.struct("query_id", "bit", "weight").alias("x")).schema["x"].dataType).alias("asks"))
+        asks = pairs.select("range", "term", F.lit(None).cast(held.schema["block"].dataType).alias("block"), F.struct("query_id", "bit", "weight").alias("asks"))
+        met = held.union(asks).repartition(tasks, "range").groupBy("range", "term").agg(F.any_value("block", True).alias("block"), F.collect_list("asks").alias("queries"))
+        read = postings_of(met.where("block IS NOT NULL AND size(queries) > 0").select("range", "queries", "block.*"), "range", "queries")
+        read = read.select("range", "chunk_id", "tf", "dl", F.inline("queries"))
+        each = read.select("query_id", "range", "chunk_id", "bit", score(F.col("tf"), F.col("dl")).alias("part"))
+        return each.groupBy("query_id", "range", "chunk_id").agg((-F.sum("part")).alias("bm25"), F.bit_or("bit").alias("mask")).drop("range")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "range")
     first = written(held.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= seeds).drop("nth"), "seeds")
@@ -78,6 +104,8 @@ def top(block: DataFrame, stats: DataFrame, terms: DataFrame, limit: int, groups
     threshold = ranked.withColumn("nth", F.row_number().over(least)).where(F.col("nth") == limit).select("query_id", (-F.col("bm25")).alias("threshold"))
     rest = held.join(first.select("query_id", "range"), ["query_id", "range"], "left_anti").join(threshold, "query_id", "left")
     rest = written(rest.where(F.col("threshold").isNull() | (F.col("bound") >= F.col("threshold") - slack)), "rest")
-    hits = begun.unionByName(scored(rest))
+    # Of the later ranges only what reaches the threshold; a row a query is few.
+    later = scored(rest).join(written(rest.groupBy("query_id").agg(F.max("threshold").alias("threshold")), "thresholds"), "query_id")
+    hits = begun.unionByName(later.where(F.col("threshold").isNull() | (-F.col("bm25") >= F.col("threshold") - slack)).drop("threshold"))
     read = first.select("query_id", "blocks").unionByName(rest.select("query_id", "blocks")).groupBy("query_id").agg(F.sum("blocks").alias("blocks_read"))
     return hits, held.groupBy("query_id").agg(F.sum("blocks").alias("blocks")).join(read, "query_id")
