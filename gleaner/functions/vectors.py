@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import abc
 import os
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,7 +66,6 @@ def to_bytes(vector: Column) -> Column:
 _WORDS = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 
 
-@functools.lru_cache(maxsize=1_000_000)
 def hash_bucket(word: str) -> int:
     """FNV-1a (64 bits) of a word's UTF-8 bytes, mod 64. The low six bits of a product and of an exclusive or
     need only the low six bits before: 37 and 51 are those of the offset and of the prime."""
@@ -76,24 +75,44 @@ def hash_bucket(word: str) -> int:
     return found
 
 
-def hash_words(text: str) -> list[str]:
-    """Words of more than two bytes, lower-cased, one final s dropped."""
-    return [w.lower().removesuffix("s") for w in _WORDS.findall(text) if len(w) > 2 or len(w.encode()) > 2]
+#: Words whose buckets a worker keeps; beyond it the table starts anew.
+MOST_KNOWN = 1 << 17
+
+
+class Buckets(dict):
+    """Of a word the bucket of its lower case without one final s; ``HASH_DIMENSIONS`` if it has two bytes or fewer."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MOST_KNOWN:
+            self.clear()
+        telling = len(word) > 2 or len(word.encode()) > 2
+        found = self[word] = hash_bucket(word.lower().removesuffix("s")) if telling else HASH_DIMENSIONS
+        return found
+
+
+_KNOWN = Buckets()
+
+
+def hash_vectors(texts: pa.Array) -> pa.Array:
+    """The texts' vectors. One text at a time becomes Python objects."""
+    rows = np.zeros((len(texts), HASH_DIMENSIONS))
+    for row, text in zip(rows, texts):
+        if text.is_valid:
+            found = np.fromiter(map(_KNOWN.__getitem__, _WORDS.findall(text.as_py())), np.int64)
+            row[:] = np.bincount(found, minlength=HASH_DIMENSIONS + 1)[:HASH_DIMENSIONS]
+            norm = np.sqrt(row @ row)
+            if norm:
+                row /= norm
+    ends = np.arange(len(texts) + 1, dtype=np.int32) * np.int32(HASH_DIMENSIONS)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()), mask=texts.is_null())
 
 
 def hash_embedding(text: Column) -> Column:
-    """The hash embedder: counts of word buckets, normalised; a batch of texts at a time."""
-
-    @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            counts = np.bincount(np.fromiter(map(hash_bucket, hash_words(text)), np.int64), minlength=HASH_DIMENSIONS).astype(float)
-            norm = np.sqrt(counts @ counts)
-            return counts / norm if norm else counts
-
-        return texts.map(one)
+    """The hash embedder: counts of word buckets, normalised."""
+
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        return hash_vectors(texts)
 
     return run(text)
 

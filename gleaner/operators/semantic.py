@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +22,12 @@ SENT = 1 << 22
 TILE = 1 << 22
 
 
-def of_model(embeddings: DataFrame, model: str | None, dimensions: int | None) -> DataFrame:
-    stored = embeddings
-    if model is not None:
-        stored = stored.where(F.col("model") == model)
-    if dimensions is not None:
-        stored = stored.where(F.size("embedding") == dimensions)
-    return stored
+def sound(batch: pa.RecordBatch, dimensions: int | None) -> pa.RecordBatch:
+    """Without null vectors and, if ``dimensions`` is given, without those of another length. Spark would compute an
+    embedding once more for such a filter."""
+    lists = batch.column(1)
+    kept = lists.is_valid() if dimensions is None else pc.fill_null(pc.equal(pc.list_value_length(lists), dimensions), False)
+    return batch.filter(kept)
 
 
 def matrix(lists: pa.ListArray, dim: int | None = None) -> np.ndarray:
@@ -45,7 +45,7 @@ def matrix(lists: pa.ListArray, dim: int | None = None) -> np.ndarray:
     return out
 
 
-def tile_top(stored: DataFrame, asked: tuple[np.ndarray, np.ndarray], limit: int, digits: int | None) -> DataFrame:
+def tile_top(stored: DataFrame, asked: tuple[np.ndarray, np.ndarray], limit: int, digits: int | None, dimensions: int | None = None) -> DataFrame:
     """(query_id, chunk_id, similarity): the best of each task, ``limit`` a query. Stored vectors times queries is a matrix
     product, a tile of at most ``TILE`` similarities (or one row of them) at a time; what is not a finite number is no
     similarity. Of a tile only those stay that reach the query's ``limit``-th best, of the tile and of those before."""
@@ -57,7 +57,7 @@ def tile_top(stored: DataFrame, asked: tuple[np.ndarray, np.ndarray], limit: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
         least = np.full(len(ids), -np.inf)  # what a query's next candidate has to reach
-        for batch in batches:
+        for batch in (sound(b, dimensions) for b in batches):
             chunks, rows = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1), wanted.shape[1])
             width = max(1, TILE // max(1, len(chunks)))
             for start in range(0, len(ids), width):
@@ -104,8 +104,9 @@ def nearest(embeddings: DataFrame, queries: DataFrame, limit: int = CANDIDATES,
 
     Queries go to every task as a matrix of about ``SENT`` numbers, and tasks send their best only; more queries go in
     blocks by a hash of their id, each a pass over the vectors."""
-    stored = of_model(embeddings, model, dimensions).where("embedding IS NOT NULL AND chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
-    parts = [tile_top(stored, (asked["query_id"].to_numpy(), matrix(asked["vector"].combine_chunks())), limit, digits) for asked in query_blocks(queries.select("query_id", "vector"))]
+    stored = embeddings if model is None else embeddings.where(F.col("model") == model)
+    stored = stored.where("chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
+    parts = [tile_top(stored, (asked["query_id"].to_numpy(), matrix(asked["vector"].combine_chunks())), limit, digits, dimensions) for asked in query_blocks(queries.select("query_id", "vector"))]
     rows = functools.reduce(DataFrame.unionByName, parts).withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
     key = F.col("similarity") if digits is None else F.round("similarity", digits)
     order = Window.partitionBy("query_id").orderBy(F.desc(key), "chunk_id")
@@ -118,9 +119,10 @@ def matches(near: DataFrame) -> DataFrame:
     return near.withColumn("best", best).where(vectors.is_match(F.col("similarity"), F.col("best"))).drop("best")
 
 
-def search(embeddings: DataFrame, chunks: DataFrame, documents: DataFrame, files: DataFrame, queries: DataFrame, model: str | None = None, dimensions: int | None = None, digits: int | None = None) -> DataFrame:
-    """(query_id, file_id, path, kind, chunk_id, page_number, text, similarity, score): of each file its nearest passage that matches."""
-    hits = matches(nearest(embeddings, queries, CANDIDATES, model, dimensions, digits))
+def search(embeddings: DataFrame, chunks: DataFrame, documents: DataFrame, files: DataFrame, queries: DataFrame, model: str | None = None, dimensions: int | None = None, digits: int | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
+    """(query_id, file_id, path, kind, chunk_id, page_number, text, similarity, score): of each file its nearest passage that
+    matches. ``keep`` may write down the hits, so that Spark knows how few they are and shuffles no texts to meet them."""
+    hits = keep(matches(nearest(embeddings, queries, CANDIDATES, model, dimensions, digits)), "near")
     rows = hits.join(chunks.select("chunk_id", "document_id", "page_number", "text"), "chunk_id").join(documents.select("document_id", "file_id"), "document_id")
     first = Window.partitionBy("query_id", "file_id").orderBy(F.desc("similarity"), "chunk_id")
     best = rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").join(files.select("file_id", "path", "kind"), "file_id")
